@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, urls
+from . import bpe, chat, quality, suffix_dedup, urls
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_url_filter": urls.op6_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
