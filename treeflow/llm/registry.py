@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, suffix_dedup, urls
+from . import bpe, chat, near_dedup, quality, suffix_dedup, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_url_filter": urls.op6_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
