@@ -141,3 +141,26 @@ def batches_by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator
 
 def as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def word_shingles(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every run of `words` words (the whole row where it has fewer), the
+    rows' bounds within them, and the rows' word counts."""
+    rows = len(offsets) - 1
+    start, end, row = word_spans(raw, offsets)
+    count = np.bincount(row, minlength=rows)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), count
+    word = span_hash(prefix_hash(raw), start, end)
+    first = np.concatenate([[0], np.cumsum(count)])
+    made = np.where(count >= words, count - words + 1, np.minimum(count, 1))
+    bounds = np.concatenate([[0], np.cumsum(made)])
+    owner = np.repeat(np.arange(rows), made)
+    at = first[owner] + np.arange(bounds[-1]) - bounds[owner]
+    h = np.zeros(len(at), np.uint64)
+    last = first[owner + 1] - 1
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            i = at + k
+            h = np.where(i <= last, mix(h * np.uint64(31) + word[np.minimum(i, len(word) - 1)]), h)
+    return h, bounds, count

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, near_dedup, quality, suffix_dedup, urls
+from . import bpe, chat, decontaminate, lm, near_dedup, quality, suffix_dedup, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_url_filter": urls.op6_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
