@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, lm, near_dedup, quality, suffix_dedup, urls
+from . import bpe, chat, decontaminate, html_crf, lm, near_dedup, quality, suffix_dedup, toxicity, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_lm_scoring": lm.op2_lm_scoring,
+    "op3_html_extraction": html_crf.op3_html_extraction,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_url_filter": urls.op6_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontaminate.op8_decontamination,
