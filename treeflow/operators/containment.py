@@ -18,21 +18,23 @@ from pyspark.sql import functions as F
 def interval_encode(levels: list[DataFrame], keys: list[str]) -> DataFrame:
     """Node table of a hierarchy.
 
-    levels[d] has path, the first d of keys, kind and label; one row a node.
+    levels[d] has path, the first d of keys, kind, label and ref (what the node
+    stands for); one row a node.
     Numbering is a sort inside each path, so trees are numbered in parallel.
     """
     rows = []
     for depth, level in enumerate(levels):
         cols = [F.col(k).cast("long").alias(f"k{i}") if i < depth else F.lit(None).cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
-        rows.append(level.select("path", F.lit(depth).alias("depth"), "kind", "label", *cols))
+        rows.append(level.select("path", F.lit(depth).alias("depth"), "kind", "label", "ref", *cols))
     nodes = reduce(DataFrame.unionByName, rows)
     ks = [F.col(f"k{i}").asc_nulls_first() for i in range(len(keys))]
-    nodes = nodes.withColumn("pre", F.row_number().over(W.partitionBy("path").orderBy(*ks, "depth")) - 1)
+    nodes = nodes.withColumn("pre", F.row_number().over(W.partitionBy("path").orderBy(*ks, "depth", "label", "ref")) - 1)
     post = F.lit(None)
     parent = F.lit(None).cast("int")
     for depth in range(len(levels)):
         inside = W.partitionBy("path", *(f"k{i}" for i in range(depth)))
-        post = F.when(F.col("depth") == depth, F.max("pre").over(inside)).otherwise(post)
+        last = F.max("pre").over(inside) if depth < len(levels) - 1 else F.col("pre")  # leaves end where they begin, equal keys too
+        post = F.when(F.col("depth") == depth, last).otherwise(post)
         if depth:
             above = W.partitionBy("path", *(f"k{i}" for i in range(depth - 1)))
             parent = F.when(F.col("depth") == depth, F.min(F.when(F.col("depth") == depth - 1, F.col("pre"))).over(above)).otherwise(parent)
