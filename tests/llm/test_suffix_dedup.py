@@ -61,7 +61,7 @@ def check(spark, texts, hot):
 
 
 def test_removal_brute_force(spark):
-    check(spark, corpus(1), 10_000)
+    check(spark, corpus(1), 24_000)
 
 
 def test_hot_buckets(spark):

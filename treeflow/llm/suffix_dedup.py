@@ -8,14 +8,15 @@ else in the collection, same document included.
    equal anchors at equal offsets, so a window's twin is found in the bucket of
    its anchor's Q-gram.  Segments are about one per 90 bytes; only their hashes
    are shuffled, and buckets met once end there.
-2. A bucket whose segments are all equal needs no text: all its windows repeat.
-3. The segments of a mixed bucket are brought together and their suffixes sorted
-   by bucket-pointer refinement: 8-gram buckets first, then every bucket of two or
+2. A segment met again needs no text: all its windows repeat.
+3. One copy of each distinct segment of a bucket that has several is brought
+   together with the others, and their suffixes are sorted by bucket-pointer
+   refinement: 8-gram buckets first, then every bucket of two or
    more is split by the bucket pointers of later offsets, and the new pointers are
    used by the next round, up to depth WINDOW.  Windows that still share a bucket
    are equal.
-4. Buckets of more than ``hot`` segments (one passage in very many documents)
-   would not fit a task.  Their windows are compared by a distributed count of
+4. Buckets of more than ``hot`` distinct segments (one passage in very many
+   documents) would not fit a task.  Their windows are compared by a distributed count of
    window hashes instead, which is as complete.
 
 Texts are keyed by (xxhash64, byte length), so exact copies share their spans and
@@ -94,19 +95,22 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, depth: int = WINDOW)
     n = len(raw)
     if n < depth:
         return np.zeros(0, np.int64)
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes from here to the row's end
+    place = np.int32 if n < 2**31 else np.int64
+    room = (np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)).astype(place)  # bytes from here to the row's end
     key = raw.astype(np.uint64)
     done = 1
     while done < min(8, depth) and 2 * done <= depth:
         longer = np.zeros(n, np.uint64)
         longer[: n - done] = (key[: n - done] << np.uint64(8 * done)) | key[done:]
         key, done = longer, 2 * done
-    live = np.flatnonzero(room >= done)
-    pointer = np.full(n, -1, np.int64)
-    first, order = np.zeros(len(live), np.int64), key[live]
+    live = np.flatnonzero(room >= done).astype(place)
+    pointer = np.full(n, -1, place)
+    first, order = np.zeros(len(live), place), key[live]
+    del key
     while True:
-        by = np.argsort(order, kind="stable")
+        by = np.argsort(order, kind="stable").astype(place)
         rank = order[by]
+        del order
         head = np.ones(len(by), bool)
         head[1:] = rank[1:] != rank[:-1]
         old = first[by]
@@ -115,8 +119,8 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, depth: int = WINDOW)
         # place within the old bucket: where this sub-bucket starts, less where the old bucket starts
         old_head = np.ones(len(by), bool)
         old_head[1:] = old[1:] != old[:-1]
-        old_start = np.maximum.accumulate(np.where(old_head, np.arange(len(by)), 0))
-        sub_start = np.repeat(start, size)
+        old_start = np.maximum.accumulate(np.where(old_head, np.arange(len(by), dtype=place), 0))
+        sub_start = np.repeat(start, size).astype(place)
         pointer[live[by]] = old + sub_start - old_start
         many = np.repeat(size > 1, size)
         live = np.sort(live[by[many]])
@@ -125,7 +129,7 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, depth: int = WINDOW)
         step = min(done, depth - done)
         live = live[room[live] >= done + step]
         first = pointer[live]
-        order = first * np.int64(n + 1) + pointer[live + step]
+        order = first.astype(np.int64) * (n + 1) + pointer[live + step]
         done += step
 
 
@@ -146,10 +150,11 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 SAME, MIXED, HOT = 0, 1, 2
 FOUND = "kind int, k bigint, n int, at int, size int, a bigint, seg binary, hashes array<bigint>"
+FLAGS = 1, 2, 4  # bits: the segment repeats; send its text; its bucket is hot
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows k, n, t, shared anchors [(anchor, kind)] -> spans known, segments to sort, hashes of hot windows."""
+    """Rows k, n, t, known segments [(hash, flags)] -> spans known, segments to sort, hashes of hot windows."""
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     names = ["kind", "k", "n", "at", "size", "a", "seg", "hashes"]
     for batch in batches:
@@ -158,35 +163,41 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, size, a, s = segments(raw, off)
             row = np.searchsorted(off, at, side="right") - 1
             flags = b.column(3)
-            anchors = flags.flatten().field("a").to_numpy(zero_copy_only=False)
-            kinds = flags.flatten().field("kind").to_numpy(zero_copy_only=False)
+            known = flags.flatten().field("s").to_numpy(zero_copy_only=False)
+            bits = flags.flatten().field("bits").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(flags.offsets)))
-            # (row, anchor) of the answers against (row, anchor) of the segments
-            have = mix(anchors.view(np.uint64) ^ mix(owner.astype(np.uint64)))
-            want = mix(a ^ mix(row.astype(np.uint64)))
+            # (row, segment hash) of the answers against those of the segments
+            have = mix(known.view(np.uint64) ^ mix(owner.astype(np.uint64)))
+            want = mix(s ^ mix(row.astype(np.uint64)))
+            if not len(have) or not len(want):
+                continue
             by = np.argsort(have)
-            i = np.minimum(np.searchsorted(have[by], want), max(0, len(have) - 1))
-            hit = have[by][i] == want if len(have) else np.zeros(len(want), bool)
-            kind = np.where(hit, kinds[by][i] if len(have) else 0, -1)
-            pick = np.flatnonzero(hit)
-            if not len(pick):
+            i = np.minimum(np.searchsorted(have[by], want), len(have) - 1)
+            bit = np.where(have[by][i] == want, bits[by][i], 0)
+            _, first = np.unique(want, return_index=True)
+            once = np.zeros(len(want), bool)
+            once[first] = True
+            send = once & (bit & FLAGS[1] > 0)
+            if not bit.any():
                 continue
             # neighbouring segments whose windows all repeat become one span
-            same = pick[kind[pick] == SAME]
+            same = np.flatnonzero(bit & FLAGS[0])
             joins = np.ones(len(same), bool)
             joins[1:] = (at[same][1:] != (at + size)[same][:-1]) | (row[same][1:] != row[same][:-1])
             start = np.flatnonzero(joins)
             stop = np.append(start[1:], len(same)) - 1 if len(same) else start
             rows = [(SAME, row[same[i]], at[same[i]], at[same[j]] + size[same[j]] - at[same[i]], 0, None, None) for i, j in zip(start, stop, strict=True)]
-            for x in pick[kind[pick] == MIXED]:
+            for x in np.flatnonzero(send & (bit & FLAGS[2] == 0)):
                 rows.append((MIXED, row[x], at[x], size[x], as_signed(a[x : x + 1])[0], raw[at[x] : at[x] + size[x] + WINDOW - 1].tobytes(), None))
-            if len(hot := pick[kind[pick] == HOT]):
+            if len(hot := np.flatnonzero(send & (bit & FLAGS[2] > 0))):
                 from .common import prefix_hash
 
                 prefix = prefix_hash(raw)
                 for x in hot:
                     i = np.arange(at[x], at[x] + size[x])
                     rows.append((HOT, row[x], at[x], size[x], 0, None, as_signed(span_hash(prefix, i, i + WINDOW)).tolist()))
+            if not rows:
+                continue
             kd, rw, ps, sz, an, sg, hs = zip(*rows, strict=True)
             rw = np.array(rw)
             k, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -239,17 +250,21 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block.column("k").to_numpy()[src]), pa.array(block.column("n").to_numpy()[src]), pa.array(at.astype(np.int32)), pa.array((end - begin)[run].astype(np.int32))], names=["k", "n", "at", "size"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", hot: int = 10_000) -> DataFrame:
-    """k, n, runs array<struct<at, size>> of repeated windows for each text that has any."""
+def repeated_spans(docs: DataFrame, text: str = "text", hot: int = 24_000) -> DataFrame:
+    """k, n, runs array<struct<at, size>> of repeated windows for each text that has any.
+
+    hot bounds what a task sorts at once: that many segments of about 300 bytes.
+    """
     texts = keyed(docs, text)
     req = texts.mapInArrow(_requests, "a bigint, s bigint, k bigint, n int")
-    shared = (
-        req.groupBy("a")
-        .agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("c"))
-        .filter("c > 1")
-        .select("a", F.when(F.col("lo") == F.col("hi"), SAME).when(F.col("c") <= hot, MIXED).otherwise(HOT).alias("kind"))
-    )
-    flags = req.select("a", "k", "n").join(shared.hint("merge"), "a").groupBy("k", "n").agg(F.collect_set(F.struct("a", "kind")).alias("flags"))
+    shared = req.groupBy("a").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed"))
+    near = settle(req.join(shared.hint("merge"), "a"), "anchors")
+    mixed = near.filter("mixed")
+    each = mixed.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("sender"))
+    each = each.join(each.groupBy("a").agg(F.count(F.lit(1)).alias("d")).hint("merge"), "a")
+    bits = F.when(F.col("c") > 1, FLAGS[0]).otherwise(0) + F.when(F.struct("k", "n") == F.col("sender"), FLAGS[1]).otherwise(0) + F.when(F.col("d") > hot, FLAGS[2]).otherwise(0)
+    told = mixed.select("a", "s", "k", "n").join(each.hint("merge"), ["a", "s"]).select("k", "n", "s", bits.alias("bits"))
+    flags = near.filter("not mixed").select("k", "n", "s", F.lit(FLAGS[0]).alias("bits")).unionByName(told).groupBy("k", "n").agg(F.collect_set(F.struct("s", "bits")).alias("flags"))
     found = settle(texts.join(flags.hint("merge"), ["k", "n"]).select("k", "n", "t", "flags").mapInArrow(_answers, FOUND), "segments")
     known = found.filter(F.col("kind") == SAME).select("k", "n", "at", "size")
     mixed = found.filter(F.col("kind") == MIXED).select("a", "seg", "k", "n", "at").repartition("a").sortWithinPartitions("a").mapInArrow(_refine, "k bigint, n int, at int, size int")
@@ -270,7 +285,7 @@ def merged(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 10_000, columns: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 24_000, columns: list[str] | None = None) -> DataFrame:
     """columns of docs (all by default) with spans (removed bytes) and kept (remaining bytes)."""
     runs = repeated_spans(docs, text, hot)
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("spans", "kept")]
