@@ -226,7 +226,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows a, seg, k, n, at sorted by a -> the runs of repeated windows k, n, at, size."""
-    for block in _sorted_blocks(batches, 4 << 20):
+    for block in _sorted_blocks(batches, 2 << 20):
         seg = block.column("seg").combine_chunks().dictionary_encode()
         if isinstance(seg, pa.ChunkedArray):
             seg = seg.combine_chunks()
