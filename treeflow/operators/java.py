@@ -354,7 +354,7 @@ class JavaParser:
                 self.i = at
                 bad, depth = [], 0
                 while self.i < len(self.toks) and not (self.peek() == close and depth == 0):
-                    t = self.leaf()
+                    t = self.leaf("identifier" if self.kind() == "id" and self.peek() not in RESERVED else None)
                     bad.append(t)
                     depth += {"{": 1, "}": -1}.get(t.kind, 0)
                     if depth <= 0 and t.kind in (";", "}"):
