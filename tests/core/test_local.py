@@ -216,3 +216,52 @@ def test_dirty_trees_and_guards():
         run("class A { int a; }", RuleGraph([one('((identifier) @x (#eq? @x "a"))', "a")]), max_iterations=50)
     with pytest.raises(ProgramError, match="leaves a syntax error"):
         run("class A { int a; }", RuleGraph([one('((identifier) @x (#eq? @x "a"))', "1 +")]))
+
+
+GO = """package p
+
+import "fmt"
+
+func f(a int, b ...string) (int, error) {
+	x := flags.IsOn("F")
+	if x || other() {
+		fmt.Println("on", a)
+		return 1, nil
+	}
+	for i := 0; i < 3; i++ {
+		m[i] = T{A: 1, B: []int{1, 2}}
+	}
+	switch y := g(); y {
+	case 1, 2:
+		go h()
+	default:
+	}
+	return 0, err
+}
+
+func (s *S) g() bool { return !flags.IsOn("F") && s.z() }
+"""
+
+
+def test_go_cleanup():
+    from treeflow.operators.golang import parse_go
+
+    t = parse_go(GO)
+    assert t.errors() == 0 and {"short_var_declaration", "composite_literal", "expression_switch_statement", "method_declaration"} <= {n.kind for n in t.root.walk()}
+    seed = Rule("flag", '((call_expression function: (selector_expression field: (_) @n) arguments: (argument_list (_) @a)) @x (#eq? @n "IsOn") (#eq? @a "\\"@flag\\""))', "x", replace="true", holes=frozenset({"flag"}), groups=frozenset({"replace_expression_with_boolean_literal"}))
+    u = run(GO, RuleGraph([seed]).merged(built_in("go")), substitutions={"flag": "F"}, language="go")
+    assert "IsOn" not in u.code and "if " not in u.code and "return false" in u.code and 'fmt.Println("on", a)' in u.code and "return 0" not in u.code
+
+
+def test_python_and_bracket_languages():
+    from treeflow.operators import languages
+
+    t = languages.language("py").parse('@d\ndef f(a, b=1):\n    # note\n    if not a and b == "é":\n        return [x.y for x in g(1, k=2)]\n')
+    got = [m.captures for m in tq.find_all(t, t.root, "((call function: (identifier) @f arguments: (argument_list (integer) @i (keyword_argument name: (identifier) @k))) @c)")]
+    assert got == [{"c": "g(1, k=2)", "f": "g", "i": "1", "k": "k"}]
+    assert t.errors() == 0 and "comment" in {n.kind for n in t.root.walk()} and languages.language("python").parse("def f(:").errors() == 1
+    for lang, code, want in (("kotlin", 'val x = f(1, "a") // c\nfun g() { h(2, b) }', 2), ("swift", "let x = f(1, y)", 1), ("ts", "const z: T = f(1, {a: 2});", 1), ("ruby", "f(1, 2) # c", 1)):
+        tree = languages.language(lang).parse(code)
+        assert tree.errors() == 0 and len(tm.find_all(tree, tree.root, ":[f](:[a], :[b])")) == want
+    with pytest.raises(ValueError):
+        languages.language("cobol")
