@@ -260,8 +260,56 @@ def test_python_and_bracket_languages():
     got = [m.captures for m in tq.find_all(t, t.root, "((call function: (identifier) @f arguments: (argument_list (integer) @i (keyword_argument name: (identifier) @k))) @c)")]
     assert got == [{"c": "g(1, k=2)", "f": "g", "i": "1", "k": "k"}]
     assert t.errors() == 0 and "comment" in {n.kind for n in t.root.walk()} and languages.language("python").parse("def f(:").errors() == 1
-    for lang, code, want in (("kotlin", 'val x = f(1, "a") // c\nfun g() { h(2, b) }', 2), ("swift", "let x = f(1, y)", 1), ("ts", "const z: T = f(1, {a: 2});", 1), ("ruby", "f(1, 2) # c", 1)):
+    for lang, code, want in (("scala", 'val x = f(1, "a") // c\nfun g() { h(2, b) }', 2), ("swift", "let x = f(1, y)", 1), ("ts", "const z: T = f(1, {a: 2});", 1), ("ruby", "f(1, 2) # c", 1)):
         tree = languages.language(lang).parse(code)
         assert tree.errors() == 0 and len(tm.find_all(tree, tree.root, ":[f](:[a], :[b])")) == want
     with pytest.raises(ValueError):
         languages.language("cobol")
+
+
+KOTLIN_FLAG = Rule("flag", '((call_expression (navigation_expression (navigation_suffix (simple_identifier) @n)) (call_suffix (value_arguments (value_argument (string_literal) @a)))) @x (#eq? @n "isOn") (#eq? @a "\\"@flag\\""))', "x", replace="true", holes=frozenset({"flag"}), groups=frozenset({"replace_expression_with_boolean_literal"}))
+
+
+@pytest.mark.parametrize(
+    ("code", "want"),
+    [
+        ("class A { fun f(): Int {\n val x = flags.isOn(\"F\")\n if (x || o()) {\n return 100\n }\n return 0\n } }", "class A { fun f(): Int { return 100 } }"),
+        ('fun f() { if (!flags.isOn("F")) { a() } else { b() } }', "fun f() { b() }"),
+        ('fun f() { if (c()) { a() } else if (flags.isOn("F")) { b() } else { d() } }', "fun f() { if (c()) { a() } else { b() } }"),
+        ('fun f() = flags.isOn("F") && t()', "fun f() = t()"),
+        ('class A { private val y = flags.isOn("F")\n fun f() { if (y) { g(y) } } }', "class A { fun f() { g(true) } }"),
+        ('fun f() { var x = flags.isOn("F")\n x = g()\n h(x) }', "fun f() { var x = true x = g() h(x) }"),
+    ],
+)
+def test_kotlin_cleanup(code, want):
+    u = run(code, RuleGraph([KOTLIN_FLAG]).merged(built_in("kt")), substitutions={"flag": "F"}, language="kotlin")
+    assert u.code.split() == want.split()
+
+
+def test_kotlin_parses_without_errors():
+    from treeflow.operators.kotlin import parse_kotlin
+
+    code = """package a.b
+import c.d.*
+@Ann(x = 1) data class P<out T : Any>(val a: Int = 1, private var b: List<T?>) : Q(a), R by b {
+  companion object { const val K = "k${1}" }
+  enum class E(val i: Int) { ONE(1) { override fun g() = 2 }, TWO(2); fun h() {} }
+  init { println("x") }
+  constructor(a: Int) : this(a, listOf())
+  val p: Int
+    get() = when (val z = a) { 0, 1 -> 2; in 3..4 -> { 5 } is Long -> 6 else -> 7 }
+  suspend fun <X> X.ext(n: Int, vararg m: String): Map<String, X>? {
+    for ((i, v) in m.withIndex()) { if (i > n) continue else break }
+    val f = { a: Int, b -> a + b } // tail
+    list.map { it.x }
+      .filter { x -> x?.y != null && x is Int || x !in z }
+      ?.let(::g) ?: return null
+    try { a[0] = b as? String; c++ } catch (e: Exception) { throw e } finally { done() }
+    while (a <= b) { a += 1 }
+    return mapOf("a" to this)
+  }
+}
+"""
+    t = parse_kotlin(code)
+    assert t.errors() == 0
+    assert {"companion_object", "enum_entry", "getter", "when_entry", "lambda_literal", "elvis_expression", "infix_expression", "try_expression", "line_comment"} <= {n.kind for n in t.root.walk()}
