@@ -92,3 +92,26 @@ def test_entry_has_every_key():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sql_functions(spark):
+    from treeflow.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([(1, "class A { int é = f(1); }"), (2, None)], "id int, code string").createOrReplaceTempView("codes")
+    got = spark.sql("SELECT id, m.* FROM codes, LATERAL tree_matches('java', code, '((method_invocation name: (identifier) @n) @c)') m").collect()
+    assert [(r.id, r.matched, r.captures["n"], r.start_byte) for r in got] == [(1, "f(1)", "f", 19)]
+    assert [r.captures["a"] for r in spark.sql("SELECT m.* FROM codes, LATERAL tmpl_matches('java', code, 'f(:[a])') m").collect()] == ["1"]
+    assert [(r.matched, r.start_byte) for r in spark.sql("SELECT m.* FROM codes, LATERAL rgx_matches(code, '(?P<d>[0-9])') m").collect()] == [("1", 21)]
+    assert json.loads(spark.sql("SELECT parse_template('a(:[x*])') AS t").first().t)["items"] == [{"literal": "a("}, {"capture": "x", "mode": "*"}, {"literal": ")"}]
+
+
+def test_two_pass_program(spark):
+    from treeflow.plans.programs import Step, replacements, run_steps
+
+    units = spark.createDataFrame([("a.java", "class A { int k = old(1); int j = old(2); int h = other(3); }"), ("b.java", "class {")], "path string, content string")
+    find = RuleGraph([Rule("find", '((method_invocation name: (identifier) @n arguments: (argument_list (_) @a)) @c (#eq? @n "old"))')])
+    made = lambda found: replacements({c["c"]: f"renewed({int(c['a']) * 10})" for _, c in found}, '((method_invocation) @c (#eq? @c "@from"))', "c")
+    out, log = run_steps(units, [Step("find", find), Step("renew", made)])
+    assert {r.path: r.content for r in out.collect()} == {"a.java": "class A { int k = renewed(10); int j = renewed(20); int h = other(3); }", "b.java": "class {"}
+    assert {(r.step, r.n) for r in log.collect()} == {("find", 2), ("renew", 1)}
