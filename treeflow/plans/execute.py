@@ -23,6 +23,7 @@ from .graph import RuleGraph
 from .materialise import keep
 from .model import Instance, Options, ProgramError, Rule, dialect, instantiate
 
+ROWS_A_BATCH = 256  # units that wait in memory for one Arrow batch
 POINT = "struct<row: int, column: int>"
 RANGE = f"struct<start_byte: bigint, end_byte: bigint, start_point: {POINT}, end_point: {POINT}>"
 MATCH = f"struct<matched_string: string, range: {RANGE}, matches: map<string, string>>"
@@ -55,6 +56,7 @@ def _evaluator(graph: RuleGraph, options: Options, active: list[Instance], tags:
 
         out = to_arrow_schema(schema)
         for b in batches:
+            done = []
             for row in b.to_pylist():
                 if row["error"] is None:
                     try:
@@ -74,7 +76,12 @@ def _evaluator(graph: RuleGraph, options: Options, active: list[Instance], tags:
                         }
                     except ValueError as e:
                         row |= {"error": str(e), "outgoing": []}
-                yield pa.RecordBatch.from_pylist([row], schema=out)
+                done.append(row)
+                if len(done) == ROWS_A_BATCH:
+                    yield pa.RecordBatch.from_pylist(done, schema=out)
+                    done = []
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=out)
 
     return run
 
@@ -95,9 +102,8 @@ def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None,
     values = [v for i in active for _, v in i.bindings]
     start = scan.grep(units.select("path", "content"), values)
     empty = {"matches": "array()", "rewrites": "array()", "facts": "array()", "bindings": "map()", "outgoing": "array()", "error": "null"}
-    types = dict(zip([f.name for f in units.sparkSession.createDataFrame([], SUMMARY).schema], units.sparkSession.createDataFrame([], SUMMARY).schema, strict=True))
-    state = start.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(types[k].dataType).alias(k) for k, v in empty.items()))
     schema = units.sparkSession.createDataFrame([], SUMMARY).schema
+    state = start.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(schema[k].dataType).alias(k) for k, v in empty.items()))
     for _ in range(max_rounds):
         state = keep(state.mapInArrow(_evaluator(graph, options, active, tags, schema), schema), "units")
         new = []
@@ -116,7 +122,7 @@ def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None,
         active += new
         # files that no earlier value occurs in may hold a new one
         more = scan.grep(units.select("path", "content"), [v for i in active for _, v in i.bindings]).join(state.select("path"), "path", "left_anti")
-        state = state.unionByName(more.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(types[k].dataType).alias(k) for k, v in empty.items())))
+        state = state.unionByName(more.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(schema[k].dataType).alias(k) for k, v in empty.items())))
     else:
         raise ProgramError(f"no fixpoint after {max_rounds} rounds")
     some = (F.size("matches") + F.size("rewrites") + F.size("facts") > 0) | F.col("error").isNotNull()
