@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,19 @@ from pyspark.sql import types as T
 from .common import batches_by_bytes, table
 
 ENCODE = """
-WITH RECURSIVE step(w, pos, tok, it) AS (
-    SELECT w, pos, tok, 0 FROM start
+WITH RECURSIVE step(w, toks) AS (
+    SELECT w, toks FROM start
   UNION ALL
-    SELECT w, pos, CAST(CASE WHEN pos = best & 1048575 THEN best >> 20 ELSE tok END AS INTEGER), it + 1
-    FROM (
-        SELECT p.w, p.pos, p.tok, p.it, p.before, min((CAST(g.merged AS BIGINT) << 20) | p.pos) OVER (PARTITION BY p.w) AS best
+    SELECT s.w, s.toks[1 : (b.best & 1048575) - 1] || [CAST(b.best >> 20 AS INTEGER)] || s.toks[(b.best & 1048575) + 2 :]
+    FROM step s JOIN (
+        SELECT p.w, min((CAST(g.merged AS BIGINT) << 20) | p.pos) AS best
         FROM (
-            SELECT w, pos, tok, it, lag(pos) OVER o AS before, lead(tok) OVER o AS nxt
-            FROM step WINDOW o AS (PARTITION BY w ORDER BY pos)
-        ) p LEFT JOIN merges g ON g.l = p.tok AND g.r = p.nxt
-    )
-    WHERE best IS NOT NULL AND (before IS NULL OR before <> best & 1048575)
+            SELECT w, unnest(toks[1 : len(toks) - 1]) AS l, unnest(toks[2 :]) AS r, unnest(range(1, len(toks))) AS pos FROM step
+        ) p JOIN merges g ON g.pair = (CAST(p.l AS BIGINT) << 32) | p.r
+        GROUP BY p.w
+    ) b ON b.w = s.w
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(it) OVER (PARTITION BY w) AS last FROM step)
-WHERE it = last GROUP BY w
+SELECT w, arg_min(toks, len(toks)) AS ids FROM step GROUP BY w
 """
 DECODE = "SELECT u.w, string_agg(v.hex, '' ORDER BY u.pos) AS hex FROM (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM coded) u JOIN vocab v ON v.id = u.tok GROUP BY u.w"
 
@@ -80,10 +78,16 @@ class DuckBpe:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), to.append(r)
         self.pairs = dict(zip(zip(left, right, strict=True), to, strict=True))
-        self.con.register("m0", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(to, pa.int32())}))
+        self.con.register("m0", pa.table({"pair": pa.array(np.array(left, np.int64) << 32 | np.array(right, np.int64)), "merged": pa.array(to, pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m0")
         self.con.unregister("m0"), self.con.unregister("v0")
-        self.cache: dict[str, tuple[np.ndarray, bytes]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known pieces: number by text, and per number the bounds of its ids and of its bytes."""
+        self.known: dict[str, int] = {}
+        self.ids, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.id_at, self.byte_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def by_heap(self, part: bytes) -> list[int]:
         """The same contraction for one long part in O(n log n)."""
@@ -124,8 +128,8 @@ class DuckBpe:
             some = short[k : k + 20_000]
             size = np.array([len(parts[i]) for i in some], np.int64)
             tok = self.byte_id[np.frombuffer(b"".join(parts[i] for i in some), np.uint8)]
-            begin = np.repeat(np.cumsum(size) - size, size)
-            start = pa.table({"w": np.repeat(np.array(some, np.int32), size), "pos": (np.arange(len(tok)) - begin).astype(np.int32), "tok": tok})
+            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            start = pa.table({"w": pa.array(some, pa.int32()), "toks": pa.ListArray.from_arrays(pa.array(bounds), pa.array(tok))})
             self.con.register("start", start)
             for w, ids in self.con.execute(ENCODE).fetchall():
                 out[w] = ids
@@ -133,9 +137,7 @@ class DuckBpe:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode and decode pieces that the cache lacks."""
-        if len(self.cache) + len(pieces) > self.cache_pieces:
-            self.cache.clear()
+        """Encode and decode pieces that are not known."""
         names = sorted(pieces)
         raws = [p.encode("utf-8", "surrogatepass") for p in names]
         ids: list[list[int]] = [[self.ranks[r]] if r in self.ranks else [] for r in raws]
@@ -148,8 +150,12 @@ class DuckBpe:
         for i, got in zip(owner, self.contract(todo), strict=True):
             ids[i] = ids[i] + got
         decoded = self.decode(ids)
-        for p, i, d in zip(names, ids, decoded, strict=True):
-            self.cache[p] = (np.array(i, np.int32), d)
+        at = len(self.known)
+        self.known.update(zip(names, range(at, at + len(names)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(decoded), np.uint8)])
+        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(i) for i in ids])])
+        self.byte_at = np.concatenate([self.byte_at, self.byte_at[-1] + np.cumsum([len(d) for d in decoded])])
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         out = [b""] * len(ids)
@@ -161,17 +167,26 @@ class DuckBpe:
             self.con.unregister("coded")
         return out
 
-    def rows(self, texts: list[str | None]) -> list[tuple[np.ndarray, bytes]]:
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, id bounds, decoded bytes and byte bounds of the texts."""
         split = [self.find(t) if t else [] for t in texts]
-        have = self.cache.keys()
-        new = {p for s in split for p in s} - have
-        if len(self.cache) + len(new) > self.cache_pieces:
-            self.cache.clear()
+        new = {p for s in split for p in s} - self.known.keys()
+        if len(self.known) + len(new) > self.cache_pieces:
+            self.forget()
             new = {p for s in split for p in s}
         if new:
             self.learn(new)
-        cache, none = self.cache, np.zeros(0, np.int32)
-        return [(np.concatenate([cache[p][0] for p in s]) if s else none, b"".join([cache[p][1] for p in s])) for s in split]
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+        return *_gather(self.ids, self.id_at, number, bounds), *_gather(self.bytes, self.byte_at, number, bounds)
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, number: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[at[i]:at[i+1]] of each i in number, one after the other, and the rows' bounds in them."""
+    size = at[number + 1] - at[number]
+    reach = np.concatenate([[0], np.cumsum(size)])
+    index = np.repeat(at[number] - reach[:-1], size) + np.arange(reach[-1])
+    return flat[index], reach[bounds]
 
 
 _CODERS: dict[tuple, DuckBpe] = {}
@@ -190,11 +205,10 @@ def encode_decode(docs: DataFrame, text: str = "text", keys: list[str] | None =
         coder = _CODERS.get(key) or _CODERS.setdefault(key, DuckBpe(*key))
         for batch in batches:
             for b in batches_by_bytes(batch, "__text", slice_bytes):
-                got = coder.rows(b.column(len(names)).to_pylist())
-                off = np.concatenate([[0], np.cumsum([len(i) for i, _ in got])]).astype(np.int32)
-                flat = np.concatenate([i for i, _ in got]) if got else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [ids, pa.array([d for _, d in got], pa.binary())], names=[*names, "ids", "decoded"])
+                ids, at, raw, end = coder.rows(b.column(len(names)).to_pylist())
+                coded = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(end.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [coded, decoded], names=[*names, "ids", "decoded"])
 
     return source.mapInArrow(run, schema)
 
