@@ -313,3 +313,21 @@ import c.d.*
     t = parse_kotlin(code)
     assert t.errors() == 0
     assert {"companion_object", "enum_entry", "getter", "when_entry", "lambda_literal", "elvis_expression", "infix_expression", "try_expression", "line_comment"} <= {n.kind for n in t.root.walk()}
+
+
+@pytest.mark.parametrize("pack", ["java", "java_cs"])
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("if (e.isTreated(F) && !false) { a(); } else { b(); }", "a();"),
+        ("if (!e.isTreated(F)) { a(); }", ""),
+        ("if (c() || !e.isTreated(F)) { a(); }", "if (c()) { a(); }"),
+        ("return e.isTreated(F) ? g(1) : h();", "return g(1);"),
+        ("return c() ? e.isTreated(F) : true;", "return true;"),
+        ("x = c() && (e.isTreated(F) == false);", ""),
+    ],
+)
+def test_java_packs_agree(pack, body, want):
+    seed = Rule("flag", '((method_invocation name: (identifier) @n arguments: (argument_list (_) @a)) @x (#eq? @n "isTreated") (#eq? @a "@flag"))', "x", replace="true", holes=frozenset({"flag"}), groups=frozenset({"replace_expression_with_boolean_literal"}))
+    u = run("class A { int f() { %s } }" % body, RuleGraph([seed]).merged(built_in(pack)), substitutions={"flag": "F"}, language=pack)
+    assert u.code.replace(" ", "") == ("class A { int f() { %s } }" % want).replace(" ", "")
