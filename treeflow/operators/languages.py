@@ -11,6 +11,7 @@ from .java import parse_java
 from .kotlin import parse_kotlin
 from .markup import parse_html, parse_json, parse_lines, parse_scm
 from .python import parse_python
+from .swift import parse_swift
 from .trees import Tree
 
 
@@ -29,8 +30,9 @@ REGISTRY = {
         Language("java_cs", "java", parse_java, frozenset({"line_comment", "block_comment"})),
         Language("go", "go", parse_go, frozenset({"comment"})),
         Language("kt", "kt", parse_kotlin, frozenset({"line_comment", "multiline_comment", "comment"})),
+        Language("swift", "swift", parse_swift, frozenset({"comment", "multiline_comment"})),
         Language("python", "py", parse_python, frozenset({"comment"})),
-        *(Language(n, x, bracket_parser(), frozenset({"comment"})) for n, x in (("swift", "swift"), ("typescript", "ts"), ("tsx", "tsx"), ("thrift", "thrift"), ("scala", "scala"))),
+        *(Language(n, x, bracket_parser(), frozenset({"comment"})) for n, x in (("typescript", "ts"), ("tsx", "tsx"), ("thrift", "thrift"), ("scala", "scala"))),
         Language("ruby", "rb", bracket_parser("#", None), frozenset({"comment"})),
         Language("yaml", "yaml", bracket_parser("#", None), frozenset({"comment"})),
         Language("html", "html", parse_html, frozenset({"comment"})),
