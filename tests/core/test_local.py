@@ -331,3 +331,29 @@ def test_java_packs_agree(pack, body, want):
     seed = Rule("flag", '((method_invocation name: (identifier) @n arguments: (argument_list (_) @a)) @x (#eq? @n "isTreated") (#eq? @a "@flag"))', "x", replace="true", holes=frozenset({"flag"}), groups=frozenset({"replace_expression_with_boolean_literal"}))
     u = run("class A { int f() { %s } }" % body, RuleGraph([seed]).merged(built_in(pack)), substitutions={"flag": "F"}, language=pack)
     assert u.code.replace(" ", "") == ("class A { int f() { %s } }" % want).replace(" ", "")
+
+
+def test_swift_parses_without_errors():
+    from treeflow.operators.swift import parse_swift
+
+    code = """import Foundation
+@objc public final class A<T: P>: B, C {
+  private lazy var x: [String: Int]? = [:], y = 1
+  var z: Int { get { return y } set { y = newValue } }
+  enum E: String { case a, b(Int) = "c" }
+  init?(_ n: Int = 1, with m: inout T...) throws { self.y = n }
+  override func f(a b: (Int) -> Void) -> [T] where T: Q {
+    guard let k = g()?.h, !flag, case .a = e else { return [] }
+    if x && (y == 1) || z != nil { do { try run() } catch { log("\\(error)") } } else if let q = r { q!.s() } else { t = u ?? v }
+    switch k { case .one, .two(let n): break
+    default: fallthrough }
+    for i in 0..<10 where i % 2 == 0 { list.map { $0.a }.filter { (p: Int) -> Bool in p > i } }
+    return c ? d as? [T] ?? [] : items // tail
+  }
+}
+"""
+    t = parse_swift(code)
+    assert t.errors() == 0
+    assert {"guard_statement", "ternary_expression", "switch_entry", "lambda_literal", "property_declaration", "init_declaration", "enum_entry", "prefix_expression", "nil_coalescing_expression"} <= {n.kind for n in t.root.walk()}
+    got = tq.find_all(t, t.root, '((prefix_expression operation: (bang) target: (simple_identifier) @n) @e)')
+    assert [m.captures["n"] for m in got] == ["flag"]

@@ -211,6 +211,8 @@ class SwiftParser(KotlinParser):
             arg: list[Node] = []
             if self.kind() == "id" and self.peek(1) == ":":
                 arg += [self.leaf("simple_identifier", "name"), self.leaf()]
+            while self.peek() in ("let", "var"):  # a pattern that binds
+                arg.append(self.leaf())
             arg.append(self.expression("value"))
             kids.append(self.make("value_argument", arg))
             if self.peek() == ",":
