@@ -357,3 +357,23 @@ def test_swift_parses_without_errors():
     assert {"guard_statement", "ternary_expression", "switch_entry", "lambda_literal", "property_declaration", "init_declaration", "enum_entry", "prefix_expression", "nil_coalescing_expression"} <= {n.kind for n in t.root.walk()}
     got = tq.find_all(t, t.root, '((prefix_expression operation: (bang) target: (simple_identifier) @n) @e)')
     assert [m.captures["n"] for m in got] == ["flag"]
+
+
+SWIFT_FLAG = Rule("flag", '((call_expression (navigation_expression suffix: (navigation_suffix suffix: (simple_identifier) @n)) (call_suffix (value_arguments (value_argument value: (line_string_literal) @a)))) @x (#eq? @n "isOn") (#eq? @a "\\"@flag\\""))', "x", replace="true", holes=frozenset({"flag"}), groups=frozenset({"replace_expression_with_boolean_literal"}))
+
+
+@pytest.mark.parametrize(
+    ("code", "want"),
+    [
+        ('func f() -> Int { if flags.isOn("F") && !c() { return 1 } else { return 2 } }', "func f() -> Int { if !c() { return 1 } else { return 2 } }"),
+        ('func f() -> Int {\n if flags.isOn("F") || c() { return 1 }\n return 2\n}', "func f() -> Int { return 1 }"),
+        ('func f() { if c() { a() } else if flags.isOn("F") { b() } else { d() } }', "func f() { if c() { a() } else { b() } }"),
+        ('func f() { if c() { a() } else if !flags.isOn("F") { b() } else { d() } }', "func f() { if c() { a() } else { d() } }"),
+        ('func f() {\n guard flags.isOn("F") else { return }\n a()\n}', "func f() { a() }"),
+        ('class A {\n func f() {\n let x = flags.isOn("F")\n if x { a() } else { b() }\n }\n}', "class A { func f() { a() } }"),
+        ('class A {\n let y = flags.isOn("F")\n func f() -> Int { return self.y ? 1 : 2 }\n}', "class A { func f() -> Int { return 1 } }"),
+    ],
+)
+def test_swift_cleanup(code, want):
+    u = run(code, RuleGraph([SWIFT_FLAG]).merged(built_in("swift")), substitutions={"flag": "F"}, language="swift")
+    assert u.code.split() == want.split(), [e.rule for e in u.rewrites]
