@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
-from treeflow.llm.common import shared_dir, table
+from treeflow.llm.common import shared_dir, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the rules reject."""
+    small_batches(spark)
     return quality.keep(docs)
 
 

@@ -17,10 +17,22 @@ M64 = (1 << 64) - 1
 MULT_INV = pow(MULT, -1, 1 << 64)
 
 
+#: Rows of an Arrow batch: texts are long, so the default of 10,000 holds tens of MB in the JVM and in Python alike.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from here on the session sends Arrow batches of BATCH_ROWS rows."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -142,7 +142,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int
 
             known, out = Items(sent.value, radius), to_arrow_schema(schema)
             for batch in batches if known.groups else ():
-                for b in batches_by_bytes(batch, "t", 4 << 20):
+                for b in batches_by_bytes(batch, "t", 1 << 20):
                     h, bounds, words = shingles(b.column(1))
                     seeds = known.seeds(h)
                     owner = np.searchsorted(bounds, seeds, side="right") - 1

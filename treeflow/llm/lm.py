@@ -56,7 +56,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _group_tokens(t: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts, at = [], [np.zeros(1, np.int64)]
     for batch in t.select([column]).to_batches():
-        for b in batches_by_bytes(batch, column, 2 << 20):
+        for b in batches_by_bytes(batch, column, 1 << 20):
             w, p, bounds = tokens(b.column(0))
             parts.append((w, p))
             at.append(bounds[1:] + at[-1][-1])

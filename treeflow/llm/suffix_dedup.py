@@ -140,7 +140,7 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in batches_by_bytes(batch, "t", 8 << 20):
+        for b in batches_by_bytes(batch, "t", 2 << 20):
             raw, off = string_buffer(b.column(2))
             at, _, a, s = segments(raw, off)
             row = np.searchsorted(off, at, side="right") - 1
@@ -158,7 +158,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     names = ["kind", "k", "n", "at", "size", "a", "seg", "hashes"]
     for batch in batches:
-        for b in batches_by_bytes(batch, "t", 4 << 20):
+        for b in batches_by_bytes(batch, "t", 1 << 20):
             raw, off = string_buffer(b.column(2))
             at, size, a, s = segments(raw, off)
             row = np.searchsorted(off, at, side="right") - 1
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 24_000, colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            for b in batches_by_bytes(batch, "t", 8 << 20):
+            for b in batches_by_bytes(batch, "t", 2 << 20):
                 raw, off = string_buffer(b.column(1))
                 runs_ = b.column(2)
                 spans, kept = [], []
