@@ -95,6 +95,58 @@ def test_classes_brute_force(spark):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(texts)))
 
 
+def families(seed, members=400):
+    """A family whose origin is absent, and small families under a template of 85 %."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(members):
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    template = [word() for _ in range(255)]
+    for _ in range(members // 4):
+        own = [word() for _ in range(45)]
+        for _ in range(3):
+            w = template + own
+            w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    return texts
+
+
+def all_pairs(texts):
+    """Least place of each class, by alignment of every pair that shares enough shingles."""
+    h, b = nd.shingles(*string_buffer(nd.pa.array(texts)))
+    sh = [h[b[i] : b[i + 1]] for i in range(len(texts))]
+    sets = [set(x.tolist()) for x in sh]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and len(sets[i] & sets[j]) * 9 >= 4 * (len(sh[i]) + len(sh[j])) and nd.aligned(sh[i], sh[j], 0.8) >= 0.8:
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    return up
+
+
+def test_overlaps_count_all_pairs():
+    rng = random.Random(4)
+    common = np.arange(1000, 1100, dtype=np.uint64)
+    a, b = ([np.unique(np.append(common[: rng.randrange(100)], np.array(rng.sample(range(300), rng.randrange(40)), np.uint64))) for _ in range(n)] for n in (70, 90))
+    assert nd.overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+def test_no_leader_cap(spark, monkeypatch):
+    texts = families(2)
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 150, raising=False)  # several blocks a bucket
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = all_pairs(texts)
+    got = {r.doc_id: r.class_id for r in nd.near_classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "same words in here now ok"), (5, "same words in here now ok"), (5, "same words in here now ok"), (None, "else")], "doc_id bigint, text string")
     assert sorted((r.doc_id or -1, r.class_id or -1) for r in nd.near_classes(df).collect()) == [(-1, -1), (-1, 5), (5, 5), (5, 5)]

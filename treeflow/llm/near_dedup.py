@@ -6,12 +6,21 @@ labelled shingles of least hash are kept in the order of the text; their ordered
 pair is a bucket key.  Equal pairs are likely only where the edit similarity of
 the shingle sequences is high.
 
-Candidates are linear in bucket rows, never all pairs of a bucket: every member
-is held against the bucket's leader, which is the member whose other buckets are
-largest (the text that most near copies derive from).  After links are verified
-and components formed, members of buckets that still hold several components
-meet again under keys of two sketches, against the leaders of the two foremost
-components, for ``rounds`` (2) more rounds.
+Two passes of linear cost come first.  Every member of a bucket is held against the
+bucket's leader, which is the member whose other buckets are largest (the text that
+most near copies derive from).  After links are verified and components formed,
+members of buckets that still hold several components meet again under keys of two
+sketches, against the leaders of the two foremost components, for ``rounds`` (2)
+more rounds.
+
+What is left is settled exactly (``_rest``): all pairs of a bucket whose texts are
+in different components are tested.  Buckets of up to ``FEW`` members give their
+pairs as rows; the members of larger ones are dealt into blocks, and each pair of
+blocks is one group, in which shared shingles are counted for all pairs at once and
+only pairs with enough of them are aligned.  Members of a bucket's largest component
+meet the others, not each other.  So no pair of a bucket stays untested unless its
+texts are already in one class; a bucket with many components costs the square of
+the members outside its largest one.
 
 A candidate is verified by banded alignment: labelled shingles are unique in a
 text, so the longest common subsequence inside the band that the threshold allows
@@ -38,6 +47,8 @@ from .common import as_signed, batches_by_bytes, mix, settle, string_buffer, tab
 from .graph import components
 
 WORDS = 5
+#: Buckets of up to so many members give pairs as rows; a block of a larger one has about so many members, and shingles.
+FEW, BLOCK_ROWS, BLOCK_SHINGLES = 8, 1000, 400_000
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +128,7 @@ def _key(text: str) -> list[Column]:
 
 
 def sketch(docs: DataFrame, text: str = "text", sketches: int = 12) -> DataFrame:
-    """u (text key), t, sk array<bigint> of order MinHash keys for the rows with words."""
+    """u (text key), sk array<bigint> of order MinHash keys, n shingles, for the rows with words."""
     u = "struct<k: bigint, n: int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +139,9 @@ def sketch(docs: DataFrame, text: str = "text", sketches: int = 12) -> DataFrame
                 has = np.flatnonzero(np.diff(bounds) > 0)
                 if len(has):
                     sk = as_signed(order_minhash(h, bounds, sketches))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.FixedSizeListArray.from_arrays(pa.array(sk.ravel()), sketches).cast(pa.list_(pa.int64()))], names=["u", "sk"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.FixedSizeListArray.from_arrays(pa.array(sk.ravel()), sketches).cast(pa.list_(pa.int64())), pa.array(np.diff(bounds)[has])], names=["u", "sk", "n"])
 
-    return docs.select(*_key(text)).mapInArrow(run, f"u {u}, sk array<bigint>")
+    return docs.select(*_key(text)).mapInArrow(run, f"u {u}, sk array<bigint>, n bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -177,9 +188,106 @@ def _between(rows: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().hint("merge"), ["u", "v"], "left_anti")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(a, b) counts of the shingles that two texts share; a text has a shingle once."""
+    _, col = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    left = row < len(a)
+    ra, ca, rb, cb = row[left], col[left], row[~left] - len(a), col[~left]
+    wide = int(col.max(initial=-1)) + 1
+    na, nb = np.bincount(ca, minlength=wide), np.bincount(cb, minlength=wide)
+    out = np.zeros((len(a), len(b)), np.float32)
+    # columns of many texts are multiplied as matrices, the others give their pairs one by one
+    often = na * nb * 256 > out.size
+    place = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 2048):
+        part = often & (place >= lo) & (place < lo + 2048)
+        x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+        x[ra[part[ca]], place[ca[part[ca]]] - lo] = 1
+        y[rb[part[cb]], place[cb[part[cb]]] - lo] = 1
+        out += x @ y.T
+    few = ~often & (na > 0) & (nb > 0)
+    by = np.argsort(cb, kind="stable")
+    first, rb = np.searchsorted(cb[by], np.arange(wide)), rb[by]
+    at = np.flatnonzero(few[ca])
+    ends = np.cumsum(nb[ca[at]])
+    flat = out.ravel()
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+        c = ca[at[lo:hi]]
+        size = nb[c]
+        mate = rb[np.repeat(first[c] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        np.add.at(flat, np.repeat(ra[at[lo:hi]], size) * len(b) + mate, np.float32(1))
+        lo = hi
+    return out
+
+
+def _block_links(threshold: float):
+    """Of one pair of blocks: links between its components, enough of them to join all that a verified pair joins."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        k, x, y, own = rows["k"][0].as_py(), key[1].as_py(), key[2].as_py(), rows["own"].to_numpy()
+        h, bounds = shingles(*string_buffer(rows["t"]))
+        sh = [h[bounds[i] : bounds[i + 1]] for i in range(len(own))]
+        size = np.diff(bounds)
+        root: dict[tuple, int] = {}
+        up = np.array([root.setdefault((c["k"], c["n"]), i) for i, c in enumerate(rows["c"].to_pylist())])
+        sk = np.array(rows["sk"].to_pylist(), np.int64)
+        a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        keep: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            shared = overlaps([sh[i] for i in a], [sh[i] for i in b])
+            enough = shared >= threshold / (1 + threshold) * (size[a][:, None] + size[b][None, :]) - 1e-3
+            p, q = np.nonzero(enough & (up[a][:, None] != up[b][None, :]))
+            p, q = a[p], b[q]
+            if x == y:
+                p, q = p[p < q], q[p < q]
+            join = up.tolist()
+
+            def find(i: int) -> int:
+                while join[i] != i:
+                    join[i] = i = join[join[i]]
+                return i
+
+            for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                # the first bucket that two texts share tests them
+                if (r := find(i)) != (s := find(j)) and not (sk[i, :k] == sk[j, :k]).any() and aligned(sh[i], sh[j], threshold) >= threshold:
+                    join[r] = s
+                    keep.append((i, j))
+        return pa.table([rows["u"].take(pa.array([i for i, _ in keep], pa.int64())), rows["u"].take(pa.array([j for _, j in keep], pa.int64()))], names=["u", "v"])
+
+    return run
+
+
+def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """Links u, v among all pairs of a bucket whose texts are in different components (sk: u, sk, n of the texts that share a bucket)."""
+    node = sk.schema["u"].dataType.simpleString()
+    rows = sk.join(classes.hint("merge"), "u", "left").select("u", F.coalesce("c", "u").alias("c"), "n", F.posexplode("sk").alias("k", "b"))
+    mixed = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("s")).filter("lo <> hi").select("b", "s")
+    rows = settle(rows.join(mixed.hint("merge"), "b"), "mixed")
+    members = rows.filter(F.col("s") <= FEW).groupBy("b").agg(F.collect_list(F.struct("u", "c", "n")).alias("m"))
+    long_enough = lambda x, y: F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * (threshold - 1e-9)
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["u"] > x["u"]) & (y["c"] != x["c"]) & long_enough(x, y)), lambda y: F.struct(x["u"].alias("u"), y["u"].alias("v")))))
+    pairs = members.select(F.explode(pairs).alias("p")).select("p.u", "p.v").distinct()
+    pairs = pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().hint("merge"), ["u", "v"], "left_anti")
+    links = verify(settle(pairs, "candidates"), texts, threshold)
+    large = rows.filter(F.col("s") > FEW)
+    foremost = large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).groupBy("b").agg(F.max(F.struct("m", "c", "w")).alias("x"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    blocks = lambda m, w: F.ceil(F.greatest(m / BLOCK_ROWS, w / BLOCK_SHINGLES)).cast("int")
+    plan = foremost.select("b", F.col("x.c").alias("most"), blocks(F.col("m") - F.col("x.m"), F.col("w") - F.col("x.w")).alias("rest"), blocks(F.col("x.m"), F.col("x.w")).alias("main"))
+    at = F.when(F.col("c") == F.col("most"), F.col("rest") + F.pmod(F.xxhash64("u"), F.col("main"))).otherwise(F.pmod(F.xxhash64("u"), F.col("rest"))).cast("int")
+    meets = F.when(F.col("own") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("main") - 1))
+    dealt = large.join(plan.hint("merge"), "b").withColumn("own", at).select("b", "k", "u", "c", "own", F.explode(meets).alias("o"))
+    dealt = dealt.select("b", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "k", "u", "c", "own")
+    dealt = dealt.join(sk.select("u", "sk").join(texts.hint("merge"), "u").hint("merge"), "u")
+    return settle(links.unionByName(dealt.groupBy("b", "x", "y").applyInArrow(_block_links(threshold), f"u {node}, v {node}")), "links")
+
+
 def text_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, sketches: int = 12, rounds: int = 2) -> DataFrame:
     """u, c for each text that is linked to another one; c is the least u of its class."""
-    sk = settle(sketch(docs, text, sketches).groupBy("u").agg(F.first("sk").alias("sk")), "sketches")
+    sk = settle(sketch(docs, text, sketches).groupBy("u").agg(F.first("sk").alias("sk"), F.first("n").alias("n")), "sketches")
     buckets = sk.select("u", F.explode("sk").alias("b"))
     tested = settle(_star(buckets), "candidates")
     touched = settle(tested.select("u").union(tested.select("v")).distinct(), "touched")
@@ -198,7 +306,8 @@ def text_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, sk
         if not new.isEmpty():
             links = settle(links.unionByName(new), "links")
             classes = components(links)
-    return classes
+    new = _rest(sk.join(touched.hint("merge"), "u", "left_semi"), classes, texts, tested, threshold)
+    return classes if new.isEmpty() else components(links.unionByName(new))
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -> DataFrame:
