@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as cp
 from tests.llm.test_corpus_ops import brute as leak
+from tests.llm.test_near_dedup import all_pairs, families
 from tests.llm.test_suffix_dedup import brute as repeats
 from treeflow.llm import bpe
 
@@ -47,6 +48,13 @@ def test_pipeline(spark, sf_dir):
         assert got[i].n_tokens == at[-1] and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
 
 
+def test_one_document_of_a_family_without_origin(spark):
+    texts = families(2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    kept = sorted(r.doc_id for r in cp.minhash_near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(all_pairs(texts)))
+
+
 def test_stages_keep_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
     for _, stage in cp.STAGES[:-1]:
