@@ -1,8 +1,9 @@
 """Running programs over unit tables.
 
 Units are evaluated to a fixpoint inside executors, in parallel by file.  Only
-rule instances meant for other files, and global tags, come back to the driver;
-both are bounded by the program, not by the code base.  While a round brings new
+rule instances meant for other files, and global tags, come back to the driver.
+There is one instance for each distinct capture of a Global or Directory edge, and
+each is run against every unit, so both grow with the code base.  While a round brings new
 ones, all units go through another round with the longer rule list; between
 rounds units are a table in the shared folder.
 """
