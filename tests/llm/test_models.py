@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -26,7 +27,7 @@ def test_markup_errors_and_edges(spark):
 def test_viterbi_is_best_path():
     crf, rng = h.trained(), random.Random(1)
     for page in h.labelled_pages(40, 9):
-        b = h.blocks(page)[: rng.randrange(1, 9)]
+        b = h.blocks(page, labels=True)[: rng.randrange(1, 9)]
         e = h.features(b) @ crf.w
         value = lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(crf.t[a, c] for a, c in itertools.pairwise(y))  # noqa: B023, E731
         best = max(itertools.product((0, 1), repeat=len(b)), key=value)
@@ -35,11 +36,61 @@ def test_viterbi_is_best_path():
 
 def test_extraction_held_out():
     crf = h.trained()
-    pages = [h.blocks(p) for p in h.labelled_pages(120, 77)]
+    pages = [h.blocks(p, labels=True) for p in h.labelled_pages(120, 77)]
     right = sum(y == (b.label or 0) for p in pages for b, y in zip(p, crf.decode(p), strict=True))
     assert right / sum(map(len, pages)) > 0.97
 
 
+#: Pages of shapes that the training pages do not have: (html, main text).
+FOREIGN = [
+    (
+        "<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>Tides</title><style>p{color:red}</style><body class=home><div id=page><div id=masthead><a href=/>The Harbour</a></div>"
+        "<ul id=navigation><li><a href=/a>Boats</a><li><a href=/b>Knots</a></ul><div id=primary class=hentry><h1 class=entry-title>Why tides turn</h1><div class=entry-content><p>The moon pulls the water toward it, and the water piles up on both sides of the globe.<p>Twice a day the shore feels it. Sailors plan around it, and so do the crabs.</div></div>"
+        "<div id=secondary class=sidebar><h3>Recent</h3><ul><li><a href=/c>Ropes</a></ul></div><div id=colophon class=site-footer>&copy; The Harbour, all rights reserved</div></div>",
+        "Why tides turn\n\nThe moon pulls the water toward it, and the water piles up on both sides of the globe.\n\nTwice a day the shore feels it. Sailors plan around it, and so do the crabs.",
+    ),
+    (
+        "<HTML><BODY><NAV><A HREF=/>Home</A></NAV><MAIN><ARTICLE><H1>Как варят соль</H1><P>Соль варят долго, и вода уходит медленно.</P><UL><LI>Сначала греют воду.<LI>Потом ждут кристаллы.</UL></ARTICLE><SECTION CLASS=comments><P>Мне понравилось!</P></SECTION></MAIN><FOOTER>© Соль</FOOTER></BODY></HTML>",
+        "Как варят соль\n\nСоль варят долго, и вода уходит медленно.\n\nСначала греют воду.\n\nПотом ждут кристаллы.",
+    ),
+    (
+        "<body><header role=banner><h2>Daily Lamp</h2></header><script>if (a < b) document.write('<p>no</p>')</script><main role=main><h1>Lamps go out</h1><blockquote>It was dark, she said, and nobody moved for an hour.</blockquote><aside class=related><a href=/x>More lamps</a></aside><p>The town waited until morning, when the power came back.</p></main><form action=/s><label>Search</label><input></form>",
+        "Lamps go out\n\nIt was dark, she said, and nobody moved for an hour.\n\nThe town waited until morning, when the power came back.",
+    ),
+]
+
+
+def test_pages_of_other_shapes():
+    for page, want in FOREIGN:
+        assert h.main_text(page, h.trained()) == want
+
+
+def test_markup_never_crashes_or_hides_the_page():
+    texts = lambda p: [b.text for b in h.blocks(p)]
+    assert texts('<div data-y="foo">x</div>') == ["x"]
+    assert texts("<html><head><title>x</title><body><article><p>kept</article>") == ["kept"]
+    assert texts("<head><meta a=b><p>kept") == ["kept"]
+    for tag in ("button", "select", "svg", "canvas", "object", "script", "title", "textarea", "option"):
+        assert texts(f"<{tag}><article><p>kept</p></article>")[-1] == "kept"
+    assert texts("<button>no</button><select><option>no</select><svg><text>no</text></svg><p>yes") == ["yes"]
+    assert texts('<p title="open>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<table><tr><td>a</div>b<td>c<tr><td>d</table>e") == ["a", "b", "c", "d", "e"]
+    assert texts("<b><p>one</b> two</p>") == ["one two"]
+    assert texts("a < b <3 <!-- x --> <? y ?> <!d> z <") == ["a < b <3 z <"]
+
+
+def test_reading_is_linear():
+    shapes = {"<div>x": 0.3, "<a ": 0.2, "<a \">\"": 0.5, "<script>": 0.2, "<button>x": 0.2, "<p><b><i>": 0.5, "<ul><li>x": 0.5, "<table><tr><td>x": 0.6, "<!-": 0.2, "<": 0.2, "&": 0.2}
+    for shape, seconds in shapes.items():
+        for page in (shape * (56_000 // len(shape)), shape * (56_000 // len(shape)) + ">"):
+            began = time.perf_counter()
+            h.blocks(page)
+            assert time.perf_counter() - began < 3 * seconds, shape
+    began = time.perf_counter()
+    assert len(h.blocks("<div>x" * 170_000)) == 170_000
+    assert time.perf_counter() - began < 15
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(3)
     vectors = []

@@ -4,12 +4,20 @@ A page becomes its leaf blocks in order: stretches of text between block-level
 tags, with the tags, classes, ids and roles of their open ancestors.  A two-label
 chain (main, other) over binary features of ancestors and text is trained on
 labelled pages by gradient ascent on the conditional likelihood and decoded by
-Viterbi.  The labelled pages are written by ``labelled_pages`` from page plans
-with invented text; elements carry ``data-y``.
+Viterbi.  The labelled pages are written by ``labelled_pages`` from page plans of
+several styles with invented text; their elements carry ``data-y``, which is read
+from training pages only.
+
+Reading takes time linear in the page.  End tags that HTML lets authors leave out
+are supplied (p, li, dt, dd, table parts, head); what is never closed hides nothing:
+a raw element (script, style, title, ...) ends before the next tag, a silent one
+(button, select, svg, ...) is ignored, or ends where a block begins if it is a
+control.  A quote that is never closed is an ordinary character; if a tag is open to
+the end of the page under its quotes, quotes count no more from there on.
 
 Defined results: null or empty html has an empty text; markup errors never fail
-(unclosed quotes are text, stray end tags are ignored, paragraphs close each
-other); pages are extracted one by one, so repeated rows give equal texts; other
+(stray end tags are ignored, paragraphs close each other, a `<` that begins no tag
+is text); pages are extracted one by one, so repeated rows give equal texts; other
 columns are kept by ``extract``, whose text column replaces one of that name; an
 empty table gives an empty result.
 """
@@ -19,6 +27,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,11 +41,18 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Elements whose content is never text, and elements that bound blocks.
-SILENT = frozenset("script style template svg head title noscript iframe object canvas select option button textarea math audio video".split())
+SILENT = frozenset("script style template svg title noscript iframe object canvas select option button textarea math audio video".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Silent elements that hold no blocks, so a block's start ends them.
+CONTROLS = ("button", "select", "option", "svg", "math")
+#: What a start tag ends by itself, and the element that it looks no further than.
+ROW, CELL = ("tr", "td", "th"), ("td", "th")
+ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (ROW, ("table",)), "td": (CELL, ("table", "tr")), "th": (CELL, ("table", "tr"))}
+ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", *ROW), ("table",)))
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-y|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HINTS = {
     "ad": r"\b(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|adsense)\b",
@@ -64,88 +80,215 @@ class Block:
     label: int | None
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks with text, in order."""
+SIMPLE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+class Reader:
+    """Tags and text of a page, left to right; the work is linear in the page whatever stands in it."""
+
+    def __init__(self, page: str):
+        self.page, self.low = page, page.translate(ASCII_LOWER)
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.quotes = True  # until a tag is found that its quotes leave open to the end of the page
+        self.unclosed: set[str] = set()
+        self.last_end: dict[str, int] = {}
+
+    def tag(self, at: int) -> tuple[bool, str, str, int] | None:
+        """Whether it is an end tag, name, attributes and end of the tag at a `<`; None where there is none."""
+        if m := SIMPLE_TAG.match(self.page, at):
+            return bool(m[1]), m[2].lower(), m[3], m.end()
+        m = TAG_NAME.match(self.page, at)
+        if m is None:
+            return None
+        end = self.quoted_end(m.end()) if self.quotes else -1
+        if end < 0:
+            self.quotes = False
+            end = self.page.find(">", m.end())
+        return None if end < 0 else (bool(m[1]), m[2].lower(), self.page[m.end() : end], end + 1)
+
+    def quoted_end(self, at: int) -> int:
+        while m := QUOTE_OR_END.search(self.page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            if m.start() < self.last_quote[m[0]]:
+                at = self.page.index(m[0], at) + 1
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the content of a raw element ends; one that is never closed ends before the next tag."""
+        found = -1
+        if tag not in self.unclosed:
+            name = "</" + tag
+            found = self.low.find(name, at)
+            while found >= 0 and self.low[found + len(name) : found + len(name) + 1] not in ("", ">", "/", " ", "\t", "\n", "\r", "\f"):
+                found = self.low.find(name, found + 1)
+            if found < 0:
+                self.unclosed.add(tag)
+        if found >= 0:
+            end = self.page.find(">", found)
+            return end + 1 if end >= 0 else len(self.page)
+        found = self.page.find("<", at)
+        return found if found >= 0 else len(self.page)
+
+    def closes(self, tag: str, at: int) -> bool:
+        """Whether an end tag of that name stands anywhere behind at."""
+        return at <= self.last("</" + tag)
+
+    def last(self, what: str) -> int:
+        if what not in self.last_end:
+            self.last_end[what] = self.low.rfind(what)
+        return self.last_end[what]
+
+
+class Open:
+    """The open elements; every question is answered from the places of each tag, not by walking the stack."""
+
+    def __init__(self):
+        self.stack: list[list] = []  # tag, hints, label, alive
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.silent = self.links = 0
+
+    def push(self, tag: str, hints: frozenset, label: int | None) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+        self.stack.append([tag, hints, label, True])
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def shut(self, to: int) -> None:
+        """Ends the elements from that place on."""
+        while len(self.stack) > to:
+            tag, _, _, alive = self.stack.pop()
+            if alive:
+                self.gone(tag)
+
+    def gone(self, tag: str) -> None:
+        place = self.at[tag].pop()
+        if self.blocks and self.blocks[-1] == place:
+            self.blocks.pop()
+        self.silent -= tag in SILENT
+        self.links -= tag == "a"
+
+    def end(self, tag: str) -> None:
+        place = self.last(tag)
+        if place < 0:
+            return
+        if tag in BLOCK:
+            inside = self.blocks[-1] > place
+            if tag == "p" and inside or place < self.last("td", "th", "caption") and tag not in TABLE:
+                return
+            self.shut(place)
+        elif self.blocks and self.blocks[-1] > place:
+            # an inline element ends without the blocks that were opened inside it
+            self.stack[place][3] = False
+            self.gone(tag)
+        else:
+            self.shut(place)
+
+    def begin_block(self, tag: str) -> None:
+        """Ends what a block's start tag ends by itself: a paragraph, the item or cell before it, stray controls."""
+        p = self.last("p")
+        if p >= 0 and self.blocks[-1] == p:
+            self.shut(p)
+        control = [self.at[t][0] for t in CONTROLS if self.at.get(t)]
+        if control:
+            self.shut(min(control))
+        if tag in ENDS:
+            ended, within = ENDS[tag]
+            floor = self.last(*within)
+            places = [x for t in ended if self.at.get(t) for x in (self.at[t][bisect_right(self.at[t], floor) :][:1])]
+            if places:
+                self.shut(min(places))
+
+    def inherited(self) -> tuple[frozenset, int | None]:
+        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (frozenset(), None)
+
+
+def blocks(page: str | None, labels: bool = False) -> list[Block]:
+    """The leaf blocks with text, in order; labels reads data-y (training pages only)."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, int | None]] = []  # tag, hints so far, label so far
     buffer: list[str] = []
     linked = 0
-    silent = links = 0
+    read, open_ = Reader(page), Open()
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                tags = frozenset("heading" if re.fullmatch("h[1-6]", s[0]) else s[0] for s in stack)
-                own = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
-                hints, label = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), None)
+                tags = frozenset(t for t in TAGS if open_.at.get(t)) | (frozenset(["heading"]) if any(open_.at.get(t) for t in HEADINGS) else frozenset())
+                own = open_.stack[open_.blocks[-1]][0] if open_.blocks else "body"
+                hints, label = open_.inherited()
                 out.append(Block(text, tags, hints, own, min(1.0, linked / len(text)), label))
             buffer.clear()
         linked = 0
 
+    def say(text: str) -> None:
+        nonlocal linked
+        if not open_.silent:
+            text = html_lib.unescape(text) if "&" in text else text
+            buffer.append(text)
+            if open_.links:
+                linked += len(text.strip())
+
     pos, end = 0, len(page)
     while pos < end:
-        m = TOKEN.match(page, pos)
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0][:1] != "<" or m[0] == "<":
-                if not silent:
-                    text = html_lib.unescape(m[0]) if "&" in m[0] else m[0]
-                    buffer.append(text)
-                    if links:
-                        linked += len(text.strip())
+        if page[pos] != "<":
+            stop = page.find("<", pos)
+            stop = end if stop < 0 else stop
+            say(page[pos:stop])
+            pos = stop
             continue
-        if m[1]:
+        found = read.tag(pos)
+        if found is None:
+            if page.startswith("<!--", pos):
+                stop = page.find("-->", pos)
+                pos = end if stop < 0 else stop + 3
+            elif page[pos + 1 : pos + 2] in ("!", "?", "/") and (stop := page.find(">", pos)) >= 0:
+                pos = stop + 1
+            else:
+                # no tag begins here, nor further on if none ends
+                stop = pos + 1 if pos < read.last(">") else end
+                say(page[pos:stop])
+                pos = stop
+            continue
+        closing, tag, inner, pos = found
+        if closing:
             if tag in BLOCK:
                 flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and not (tag == "p" and any(s[0] in ("div", "td", "article", "section", "li", "blockquote") for s in stack[k + 1 :])):
-                for s in stack[k:]:
-                    silent -= s[0] in SILENT
-                    links -= s[0] == "a"
-                del stack[k:]
+            open_.end(tag)
             continue
         if tag == "br":
             buffer.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            shut = "p" if tag not in ("html", "body") else None
-            if shut and any(s[0] == "p" for s in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                inside = [s[0] for s in stack[k + 1 :]]
-                if not any(t in BLOCK for t in inside):
-                    # a paragraph ends here; inline elements left open inside it end with it
-                    for s in stack[k:]:
-                        silent -= s[0] in SILENT
-                        links -= s[0] == "a"
-                    del stack[k:]
-            if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "ul", "ol", "dl", "table")), None)
-                if k is not None and stack[k][0] == tag:
-                    for s in stack[k:]:
-                        silent -= s[0] in SILENT
-                        links -= s[0] == "a"
-                    del stack[k:]
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+            open_.begin_block(tag)
+        if tag in VOID or tag == "head" or inner.endswith("/") and tag not in BLOCK and tag not in RAW:
+            continue
+        if tag in RAW:
+            pos = read.raw_end(tag, pos)
             continue
-        hints, label = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), None)
-        for name, value in ATTRIBUTE.findall(m[3]):
+        if tag in SILENT and not read.closes(tag, pos):
+            continue
+        hints, label = open_.inherited()
+        for name, value in ATTRIBUTE.findall(inner) if inner else ():
             value = value.strip("\"'")
             if name.lower() == "data-y":
-                label = int(value)
+                label = (1 if value == "1" else 0) if labels else None
             else:
                 hints = hints | {k for k, r in HINTS.items() if r.search(value)}
-        if tag in RAW:
-            close = re.compile(f"</{tag}[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else end
-            continue
-        stack.append((tag, hints, label))
-        silent += tag in SILENT
-        links += tag == "a"
+        open_.push(tag, hints, label)
     flush()
     return out
 
@@ -258,99 +401,132 @@ class Crf:
         return out[::-1]
 
 
+ALPHABETS = ("lo ra mi ten sol ver qui dan é ßu kor pel in an".split(), "ка мо ст ен ри ла до ве ту на".split(), "ma κα λο τη σι ρα νε πο".split())
+
+
 def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
-    """Pages by plan, with invented text; data-y is 1 on main elements, 0 elsewhere."""
+    """Pages by plan, with invented text; data-y is 1 on main elements, 0 elsewhere.
+
+    Styles differ in the elements that hold the article (article, main, div, layout
+    table, bare body), in classes, ids and roles, in the end tags they leave out, in
+    alphabet and in the case of tags.
+    """
     rng = random.Random(seed)
-    syllables = ["lo", "ra", "mi", "ten", "sol", "ver", "qui", "dan", "é", "ßu", "kor", "pel", "in", "an"]
+    chance = lambda p: rng.random() < p
+    syllables = ALPHABETS[0]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
 
     def sentence(a: int = 4, b: int = 18) -> str:
-        s = [word() for _ in range(rng.randrange(a, b))]
-        mark = rng.random() < 0.1
-        s = [w + (rng.choice(["###", "%%%", "&amp;"]) if mark else "," if rng.random() < 0.08 else "") for w in s]
-        return s[0].capitalize() + " " + " ".join(s[1:]) + rng.choice([".", ".", ".", "!", "?"])
+        s = [word() + ("," if chance(0.08) else "") for _ in range(rng.randrange(a, b))]
+        return s[0].capitalize() + " " + " ".join(s[1:]) + rng.choice([".", ".", ".", ".", "!", "?", "", ":"])
 
     para = lambda: " ".join(sentence() for _ in range(rng.choice([1, 1, 2, 3, 5, 8])))
-    attr = lambda *names: f' {rng.choice(["class", "class", "id"])}="{rng.choice(names)}"' if rng.random() < 0.85 else ""
-    links = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
-    close = lambda t: "" if rng.random() < 0.08 else f"</{t}>"
     prose = lambda: rng.choice([para, sentence])()
+    label = lambda *names: f'{rng.choice(["class", "class", "id"])}="{rng.choice(names)}"'
+    attr = lambda *names: " " + label(*names) if chance(0.85) else ""
+    loose = False  # end tags that may be left out are left out
+    close = lambda t: "" if loose or chance(0.08) else f"</{t}>"
+    link = lambda: f'<a href="/{word()}">{word()}</a>'
+    links = lambda k: "".join(f"<li>{link()}{close('li')}" for _ in range(k))
 
     def nav() -> str:
-        return rng.choice([f"<nav><ul>{links(rng.randrange(2, 8))}</ul></nav>", f'<div{attr("menu", "navbar", "breadcrumbs")}><ul>{links(5)}</ul></div>', f'<div role="navigation">{" | ".join(f"<a href=#>{word()}</a>" for _ in range(5))}</div>'])
+        return rng.choice(
+            [
+                f"<nav><ul>{links(rng.randrange(2, 8))}</ul></nav>",
+                f'<div{attr("menu", "navbar", "breadcrumbs")}><ul>{links(5)}</ul></div>',
+                f'<div role="navigation">{" | ".join(link() for _ in range(5))}</div>',
+                f"<table{attr('menu', 'tabs')}><tr>{''.join(f'<td>{link()}{close("td")}' for _ in range(4))}</table>",
+            ]
+        )
 
     def header() -> str:
-        return rng.choice([f"<header><a href=/>{word()}</a><p>{sentence(2, 6)}</p></header>", f'<div{attr("header", "masthead", "site-header")}><h2>{word()}</h2>{prose()}</div>'])
+        return rng.choice([f"<header>{link()}<p>{sentence(2, 6)}{close('p')}</header>", f'<div{attr("header", "masthead", "site-header")}><h2>{word()}</h2>{prose()}</div>', f'<div role="banner">{word()} <b>{sentence(1, 5)}</b></div>'])
 
     def footer() -> str:
-        return rng.choice([f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", f'<footer><p>{prose()}</p><a href=#>{word()}</a></footer>', f'<div{attr("footer", "page-foot", "legal")}>{prose()} All rights reserved</div>'])
+        return rng.choice([f"<footer>&copy; {word()} &middot; {sentence()}</footer>", f"<footer><p>{prose()}{close('p')}{link()}</footer>", f'<div{attr("footer", "page-foot", "legal")}>{prose()} All rights reserved</div>', f'<div role="contentinfo"><p>{prose()}{close("p")}</div>'])
 
     def ad() -> str:
-        return f'<div{attr("ad", "ads", "advert", "sponsored", "ad-banner", "promo")}>{prose()}</div>' if rng.random() < 0.8 else f"<ins class=adsense><p>{prose()}</p></ins>"
+        return rng.choice([f'<div{attr("ad", "ads", "advert", "sponsored", "ad-banner", "promo")}>{prose()}</div>', f'<div {label("ad", "advertisement", "sponsor-box")}><p>{prose()}{close("p")}{link()}</div>', f"<ins class=adsense><p>{prose()}</p></ins>"])
 
     def notice() -> str:
-        return f'<div{attr("cookie-notice", "consent", "newsletter", "alert", "gdpr popup")}><p>{prose()}</p><button>OK</button></div>'
+        return rng.choice([f'<div{attr("cookie-notice", "consent", "newsletter", "alert", "gdpr popup")}><p>{prose()}{close("p")}<button>OK</button></div>', f'<dialog open><p>{prose()}{close("p")}</dialog>', f'<div role="alert">{prose()}</div>'])
 
     def aside() -> str:
-        return rng.choice([f"<aside><h3>{word()}</h3><p>{prose()}</p></aside>", f"<aside>{prose()}</aside>", f'<div{attr("sidebar", "related", "widget", "share-bar")}><h4>{word()}</h4><ul>{links(4)}</ul><p>{prose()}</p></div>'])
+        return rng.choice([f"<aside><h3>{word()}</h3><p>{prose()}</p></aside>", f"<aside>{prose()}</aside>", f'<div{attr("sidebar", "related", "widget", "share-bar")}><h4>{word()}</h4><ul>{links(4)}</ul><p>{prose()}{close("p")}</div>', f'<div role="complementary"><h3>{word()}</h3><ul>{links(3)}</ul></div>'])
 
     def form() -> str:
-        return f'<form><label>{word()} {word()}</label><p>{sentence()}</p><input name=q><button>{word()}</button></form>'
+        return f'<form><label>{word()} {word()}</label><p>{sentence()}{close("p")}<input name=q><select><option>{word()}<option>{word()}</select><button>{word()}</button></form>'
 
     def comments() -> str:
-        body = "".join(f"<{t}{attr('comment', 'reply') if rng.random() < 0.5 else ''}><b>{word()}</b><p>{prose()}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] for _ in range(rng.randrange(1, 6)))
-        return f'<{(t := rng.choice(["section", "div", "div"]))} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "discussion", "replies"])}"><h3>{word()}</h3>{body}</{t}>'
+        body = "".join(f"<{t}{attr('comment', 'reply') if chance(0.5) else ''}><b>{word()}</b><p>{prose()}{close('p')}</{t}>" for t in [rng.choice(["div", "li", "article"])] for _ in range(rng.randrange(1, 6)))
+        return f'<{(t := rng.choice(["section", "div", "div", "ol"]))} {label("comments", "comment-list", "discussion", "replies")}><h3>{word()}</h3>{body}</{t}>'
 
     def other(f) -> str:
         return re.sub(r"<(\w+)", r'<\1 data-y="0"', f(), count=1)
 
-    def main() -> str:
-        title = f'<h1>{sentence(2, 9)}</h1>' if rng.random() < 0.8 else f"<h1>{word()} {word()}</h1>"
-        if rng.random() < 0.15:
+    def body_parts() -> str:
+        title = f"<h1>{sentence(2, 9)}</h1>" if chance(0.8) else f"<h1>{word()} {word()}</h1>" if chance(0.7) else ""
+        if title and chance(0.15):
             title = f"<header>{title}</header>"
         parts = [title]
         for _ in range(rng.randrange(1, 9)):
             r = rng.random()
-            if r < 0.72:
+            if r < 0.7:
                 p = para()
-                p = f"<b>{p}<br>" if rng.random() < 0.1 else p.replace(" ", f' <a href="/x">{word()}</a> ', 1) if rng.random() < 0.15 else p
+                p = f"<b>{p}<br>" if chance(0.1) else p.replace(" ", f' <a href="/x">{word()}</a> ', 1) if chance(0.15) else p
                 parts.append(f"<p>{p}{close('p')}")
-            elif r < 0.8:
-                parts.append(f"<h2>{sentence(2, 6)[:-1]}</h2>")
-            elif r < 0.86:
-                parts.append("<ul>" + "".join(f"<li>{sentence(3, 9)}</li>" for _ in range(3)) + "</ul>")
+            elif r < 0.78:
+                parts.append(f"<{(t := rng.choice(['h2', 'h3']))}>{sentence(2, 6)[:-1]}</{t}>")
+            elif r < 0.84:
+                parts.append(f"<{(t := rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{sentence(3, 9)}{close('li')}" for _ in range(3)) + f"</{t}>")
+            elif r < 0.87:
+                parts.append("<dl>" + "".join(f"<dt>{word()}{close('dt')}<dd>{sentence(3, 9)}{close('dd')}" for _ in range(2)) + "</dl>")
             elif r < 0.9:
                 parts.append(f"<blockquote>{para()}</blockquote>")
             elif r < 0.93:
-                parts.append(f"<table><tr><td>{word()}</td><td>{sentence(2, 6)}</td></tr></table>")
-            elif r < 0.96:
-                parts.append(f"<p>{word().capitalize()}.</p>")
+                parts.append(f"<table><tr><td>{word()}{close('td')}<td>{sentence(2, 6)}{close('td')}{close('tr')}</table>")
+            elif r < 0.95:
+                parts.append(f"<figure><img src=x><figcaption>{sentence(3, 9)}</figcaption></figure>" if chance(0.5) else f"<pre>{sentence()}</pre>")
+            elif r < 0.97:
+                parts.append(f"<p>{word().capitalize()}.{close('p')}")
             else:
                 parts.append(other(rng.choice([ad, aside, notice])))
-        if rng.random() < 0.12:
+        if chance(0.12):
             parts.append(other(comments))
-        inner = "".join(parts)
-        kind = rng.random()
-        if kind < 0.55:
-            return f'<article data-y="1">{inner}</article>'
-        if kind < 0.7:
-            return f'<main data-y="1">{inner}</main>'
-        return f'<div data-y="1"{attr("content", "post", "entry-content", "story-body", "article-text")}>{inner}</div>'
+        return "".join(parts)
+
+    def main() -> str:
+        inner = body_parts()
+        tag = rng.choice(["article", "article", "article", "main", "div", "div", "section"])
+        if tag in ("article", "main"):
+            return f'<{tag} data-y="1">{inner}</{tag}>'
+        if chance(0.15):
+            return f'<{tag} role="main" data-y="1">{inner}</{tag}>'
+        return f'<{tag} data-y="1"{attr("content", "post", "entry-content", "story-body", "article-text")}>{inner}</{tag}>'
 
     out = []
-    for _ in range(n):
-        before = [f for f in (header, nav, notice, ad) if rng.random() < 0.5]
-        after = [f for f in (aside, comments, form, ad, nav, notice) if rng.random() < 0.3]
+    for i in range(n):
+        syllables = ALPHABETS[i % 6 if i % 6 < 3 else 0]
+        loose = chance(0.2)
+        before = [f for f in (header, nav, notice, ad) if chance(0.5)]
+        after = [f for f in (aside, comments, form, ad, nav, notice) if chance(0.3)]
         rng.shuffle(before)
         rng.shuffle(after)
-        body = "".join(map(other, before)) + main() + "".join(map(other, after)) + (other(footer) if rng.random() < 0.8 else "")
-        out.append(f"<html><head><title>{word()}</title></head><body>{body}</body></html>")
+        end = other(footer) if chance(0.8) else ""
+        if chance(0.08):
+            # a layout table: menu and boxes left, the article in the middle
+            side = "".join(map(other, after))
+            body = "".join(map(other, before)) + f'<table><tr><td data-y="0">{side}{close("td")}<td data-y="1">{body_parts()}{close("td")}{close("tr")}</table>' + end
+        else:
+            body = "".join(map(other, before)) + main() + "".join(map(other, after)) + end
+        page = f"<title>{word()}</title>{body}" if loose else f"<html><head><title>{word()}</title></head><body>{body}</body></html>"
+        out.append(re.sub(r"(?<=<)/?[a-z]+\d?(?=[\s>])", lambda m: m[0].upper(), page) if chance(0.05) else page)
     return out
 
 
 @lru_cache(maxsize=4)
 def trained(n: int = 400, seed: int = 5) -> Crf:
-    return Crf.train([b for p in labelled_pages(n, seed) if (b := blocks(p))])
+    return Crf.train([b for p in labelled_pages(n, seed) if (b := blocks(p, labels=True))])
 
 
 def main_text(page: str | None, crf: Crf) -> str:
