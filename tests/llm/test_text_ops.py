@@ -1,6 +1,5 @@
 """Quality rules, chat formatting, URL rules and BPE against brute force and edge rows."""
 
-import hashlib
 import random
 from collections import Counter
 
@@ -109,11 +108,41 @@ def test_bpe_matches_tiktoken(spark):
         assert bytes(got[i].decoded) == (t or "").encode()
 
 
-def test_bpe_heap_equals_recursion():
+def own_encoding():
     import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    return path, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
 
-    coder = bpe.DuckBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+
+def test_bpe_long_pieces():
+    """Both recursive queries, at and beside the length that parts them, on runs and on letters without a pattern."""
+    import public_tokenizers as P
+
+    path, enc = own_encoding()
     rng = random.Random(2)
-    parts = [bytes(rng.choice(b"abtheinor") for _ in range(rng.randrange(1, 90))) for _ in range(200)]
-    assert coder.contract(parts) == [coder.by_heap(p) for p in parts]
-    assert hashlib.sha256(coder.decode([[1]])[0]).digest()
+    letters = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    texts = [letters("etaoin", n) for n in (127, 128, 129, 130, 400)] + ["a" * n for n in (127, 128, 129, 3000)] + ["ab" * 900 + "ba" * 900, letters("acgt", 4000), letters("thean", 2500), "the" * 400, "日本" * 300, "ß" * 500]
+    for limit in (128, 1, 10_000):
+        coder = bpe.DuckBpe(path, P.PATTERN, long_piece=limit)
+        some = texts if limit == 128 else [t for t in texts if len(t) <= 900]
+        ids, at, raw, end = coder.rows(some)
+        for i, t in enumerate(some):
+            assert ids[at[i] : at[i + 1]].tolist() == enc.encode_ordinary(t), (limit, t[:40])
+            assert raw[end[i] : end[i + 1]].tobytes() == t.encode()
+
+
+def test_bpe_order_of_lower_ranks():
+    """Contractions that make a pair of a lower rank: the places behind it wait, as one by one."""
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"xa": 256, b"ax": 257, b"aax": 258, b"xaa": 259, b"aa": 260, b"aaa": 261, b"aaaa": 262, b"ba": 263, b"aab": 264}
+    enc = tiktoken.Encoding("odd", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.DuckBpe.__new__(bpe.DuckBpe)
+    coder.load(ranks, "[a-z]+", 1000, 0, 200)
+    rng = random.Random(3)
+    for _ in range(40):
+        t = "".join(rng.choice("aaabx") for _ in range(rng.randrange(1, 60)))
+        ids, _, _, _ = coder.rows([t])
+        assert ids.tolist() == enc.encode_ordinary(t), t

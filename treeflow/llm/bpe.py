@@ -6,10 +6,13 @@ token-position rows; the recursive query joins neighbours to the merge table and
 contracts every word's leftmost pair of minimum rank until no pair is left.
 Decoding is an ordered aggregation of the vocabulary's bytes.
 
-Exactness on long pieces: no token crosses a byte pair that occurs inside no
-token, so a piece is first cut there; a part that is still longer than
-``long_piece`` bytes is contracted by a heap with the same rule, since the
-recursive query copies the rest of a word at every step.
+No token crosses a byte pair that occurs inside no token, so a piece is first cut
+there.  A step of ``ENCODE`` contracts one pair of a word, which suits words.  Parts
+of over ``long_piece`` bytes go through ``ENCODE_RUNS``, a recursive query of the
+same contraction whose step takes all places of the minimum rank at once, from the
+left and without overlap, up to the first whose contraction makes a pair of a still
+lower rank; so a long run of letters takes a step for each rank that occurs in it.
+DuckDB holds everything in memory (``memory_mb``) and writes no files.
 
 Defined results: a null or empty text has no ids and decodes to nothing; rows
 are independent, so repeated rows get equal results; the output has the key
@@ -19,17 +22,17 @@ columns asked for, ``ids`` and ``decoded``; an empty table gives none.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes, table
+from .common import batches_by_bytes, string_buffer, table
 
 ENCODE = """
 WITH RECURSIVE step(w, toks) AS (
@@ -46,7 +49,31 @@ WITH RECURSIVE step(w, toks) AS (
 )
 SELECT w, arg_min(toks, len(toks)) AS ids FROM step GROUP BY w
 """
-DECODE = "SELECT u.w, string_agg(v.hex, '' ORDER BY u.pos) AS hex FROM (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM coded) u JOIN vocab v ON v.id = u.tok GROUP BY u.w"
+ENCODE_RUNS = """
+WITH RECURSIVE step(w, toks) USING KEY (w) AS (
+    SELECT w, toks FROM start
+  UNION
+    SELECT w, list(CASE WHEN taken THEN merged ELSE tok END ORDER BY pos) FILTER (NOT gone) AS toks FROM (
+        SELECT *, coalesce(lag(taken) OVER (PARTITION BY w ORDER BY pos), false) AS gone FROM (
+            SELECT *, chosen AND coalesce(max(CASE WHEN chosen AND lowers THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS taken FROM (
+                SELECT c.*, coalesce(before.merged < c.merged, false) OR coalesce(behind.merged < c.merged, false) AS lowers FROM (
+                    SELECT *, CASE WHEN lag(chosen, 2) OVER (PARTITION BY w ORDER BY pos) THEN merged ELSE lag(tok) OVER (PARTITION BY w ORDER BY pos) END AS l, lead(tok, 2) OVER (PARTITION BY w ORDER BY pos) AS r FROM (
+                        SELECT *, hit AND (pos - coalesce(max(CASE WHEN NOT hit THEN pos END) OVER (PARTITION BY w ORDER BY pos), 0)) % 2 = 1 AS chosen FROM (
+                            SELECT *, coalesce(merged = min(merged) OVER (PARTITION BY w), false) AS hit FROM (
+                                SELECT p.*, g.merged FROM (
+                                    SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS after FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM step)
+                                ) p LEFT JOIN merges g ON g.pair = (CAST(p.tok AS BIGINT) << 32) | p.after
+                            )
+                        )
+                    )
+                ) c LEFT JOIN merges before ON c.chosen AND before.pair = (CAST(c.l AS BIGINT) << 32) | c.merged LEFT JOIN merges behind ON c.chosen AND behind.pair = (CAST(c.merged AS BIGINT) << 32) | c.r
+            )
+        )
+    ) GROUP BY w HAVING bool_or(taken)
+)
+SELECT w, toks AS ids FROM step
+"""
+DECODE = "SELECT u.w, string_agg(v.hex, '' ORDER BY u.pos) AS hex FROM (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM coded) u JOIN vocab v ON v.id = u.tok GROUP BY u.w ORDER BY u.w"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,14 +84,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Piece coder of one task; the piece cache is bounded and only saves work."""
 
-    def __init__(self, path: str, pattern: str, cache_pieces: int = 400_000, long_piece: int = 128):
+    def __init__(self, path: str, pattern: str, cache_pieces: int = 400_000, long_piece: int = 128, memory_mb: int = 600):
+        self.load(load_ranks(path), pattern, cache_pieces, long_piece, memory_mb)
+
+    def load(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int, long_piece: int, memory_mb: int) -> None:
         import duckdb
         import regex
 
-        self.ranks = load_ranks(path)
+        self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.cache_pieces, self.long_piece = cache_pieces, long_piece
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": ""})
         ids = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.con.register("v0", pa.table({"id": ids, "hex": [k.hex() for k in self.ranks]}))
@@ -77,7 +107,6 @@ class DuckBpe:
                 a, b = self.ranks.get(tok[:i]), self.ranks.get(tok[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), to.append(r)
-        self.pairs = dict(zip(zip(left, right, strict=True), to, strict=True))
         self.con.register("m0", pa.table({"pair": pa.array(np.array(left, np.int64) << 32 | np.array(right, np.int64)), "merged": pa.array(to, pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m0")
         self.con.unregister("m0"), self.con.unregister("v0")
@@ -89,27 +118,6 @@ class DuckBpe:
         self.ids, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.id_at, self.byte_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def by_heap(self, part: bytes) -> list[int]:
-        """The same contraction for one long part in O(n log n)."""
-        tok = self.byte_id[np.frombuffer(part, np.uint8)].tolist()
-        n = len(tok)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, i, tok[i], tok[i + 1]) for i in range(n - 1) if (m := self.pairs.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            m, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if alive[i] else n
-            if j >= n or tok[i] != a or tok[j] != b:
-                continue
-            tok[i], alive[j], nxt[i] = m, False, nxt[j]
-            if nxt[j] < n:
-                prev[nxt[j]] = i
-            for x in (prev[i], i):
-                if x >= 0 and nxt[x] < n and (k := self.pairs.get((tok[x], tok[nxt[x]]))) is not None:
-                    heapq.heappush(heap, (k, x, tok[x], tok[nxt[x]]))
-        return [t for t, live in zip(tok, alive, strict=True) if live]
-
     def cut(self, piece: bytes) -> list[bytes]:
         if len(piece) <= 24:
             return [piece]
@@ -117,76 +125,100 @@ class DuckBpe:
         at = [0, *(np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1).tolist(), len(piece)]
         return [piece[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def contract(self, parts: list[bytes]) -> list[list[int]]:
-        """ids of each part, in order, by the recursive query."""
-        out: list = [None] * len(parts)
-        short = [i for i, p in enumerate(parts) if len(p) <= self.long_piece]
-        for i, p in enumerate(parts):
-            if len(p) > self.long_piece:
-                out[i] = self.by_heap(p)
-        for k in range(0, len(short), 20_000):
-            some = short[k : k + 20_000]
-            size = np.array([len(parts[i]) for i in some], np.int64)
-            tok = self.byte_id[np.frombuffer(b"".join(parts[i] for i in some), np.uint8)]
-            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            start = pa.table({"w": pa.array(some, pa.int32()), "toks": pa.ListArray.from_arrays(pa.array(bounds), pa.array(tok))})
-            self.con.register("start", start)
-            for w, ids in self.con.execute(ENCODE).fetchall():
-                out[w] = ids
-            self.con.unregister("start")
-        return out
+    def contract(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, one after the other, and the number of ids of each part."""
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        start = np.cumsum(size) - size
+        count, found = np.zeros(len(parts), np.int64), []
+        for query, some in ((ENCODE, np.flatnonzero(size <= self.long_piece)), (ENCODE_RUNS, np.flatnonzero(size > self.long_piece))):
+            # intermediate lists of a word fill at most half its squared length
+            work = np.cumsum(size[some] ** 2 if query is ENCODE else size[some] * 20)
+            at = 0
+            while at < len(some):
+                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 20_000_000, side="right")))
+                w = some[at:to]
+                tok = self.byte_id[raw[_ranges(start[w], size[w])]]
+                bounds = np.concatenate([[0], np.cumsum(size[w])]).astype(np.int32)
+                got = self.ask(query, "start", {"w": pa.array(w.astype(np.int32)), "toks": pa.ListArray.from_arrays(pa.array(bounds), pa.array(tok))})
+                ids = got.column("ids").combine_chunks()
+                who = got.column("w").to_numpy()
+                count[who] = np.diff(ids.offsets.to_numpy())
+                found.append((who, ids.flatten().to_numpy()))
+                at = to
+        out = np.zeros(int(count.sum()), np.int32)
+        first = np.cumsum(count) - count
+        for who, ids in found:
+            out[_ranges(first[who], count[who])] = ids
+        return out, count
+
+    def ask(self, query: str, name: str, columns: dict[str, pa.Array]) -> pa.Table:
+        self.con.register(name, pa.table(columns))
+        got = self.con.sql(query).to_arrow_table()
+        self.con.unregister(name)
+        return got
 
     def learn(self, pieces: set[str]) -> None:
         """Encode and decode pieces that are not known."""
         names = sorted(pieces)
         raws = [p.encode("utf-8", "surrogatepass") for p in names]
-        ids: list[list[int]] = [[self.ranks[r]] if r in self.ranks else [] for r in raws]
-        todo, owner = [], []
-        for i, r in enumerate(raws):
-            if not ids[i]:
-                for part in self.cut(r):
-                    todo.append(part)
-                    owner.append(i)
-        for i, got in zip(owner, self.contract(todo), strict=True):
-            ids[i] = ids[i] + got
-        decoded = self.decode(ids)
-        at = len(self.known)
-        self.known.update(zip(names, range(at, at + len(names)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(decoded), np.uint8)])
-        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(i) for i in ids])])
-        self.byte_at = np.concatenate([self.byte_at, self.byte_at[-1] + np.cumsum([len(d) for d in decoded])])
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        out = [b""] * len(ids)
-        for k in range(0, len(ids), 50_000):
-            some = ids[k : k + 50_000]
-            self.con.register("coded", pa.table({"w": pa.array(range(k, k + len(some)), pa.int32()), "ids": pa.array(some, pa.list_(pa.int32()))}))
-            for w, hex_ in self.con.execute(DECODE).fetchall():
-                out[w] = bytes.fromhex(hex_)
-            self.con.unregister("coded")
-        return out
+        whole = np.fromiter((self.ranks.get(r, -1) for r in raws), np.int64, len(raws))
+        parts, owner = [], []
+        for i in np.flatnonzero(whole < 0).tolist():
+            cut = self.cut(raws[i])
+            parts += cut
+            owner += [i] * len(cut)
+        flat, count = self.contract(parts)
+        size = np.where(whole < 0, np.bincount(owner, weights=count, minlength=len(names)).astype(np.int64) if owner else 0, 1)
+        ids = np.repeat(whole, size).astype(np.int32)
+        ids[np.repeat(whole < 0, size)] = flat  # parts stand in the order of their pieces
+        decoded, length = self.decode(ids, size)
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, decoded])
+        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(size)])
+        self.byte_at = np.concatenate([self.byte_at, self.byte_at[-1] + np.cumsum(length)])
+
+    def decode(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of runs of ids, one after the other, and the number of bytes of each run (size: its ids, one at least)."""
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        raw, length = [], []
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 400_000, side="right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array((bounds[at : to + 1] - bounds[at]).astype(np.int32)), pa.array(ids[bounds[at] : bounds[to]]))
+            text = self.ask(DECODE, "coded", {"w": pa.array(np.arange(at, to, dtype=np.int32)), "ids": lists}).column("hex")
+            length.append(pc.binary_length(text).to_numpy().astype(np.int64) // 2)
+            raw += [np.frombuffer(bytes.fromhex(string_buffer(c)[0].tobytes().decode()), np.uint8) for c in text.chunks]
+            at = to
+        return np.concatenate([np.zeros(0, np.uint8), *raw]), np.concatenate([np.zeros(0, np.int64), *length])
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, id bounds, decoded bytes and byte bounds of the texts."""
         split = [self.find(t) if t else [] for t in texts]
-        new = {p for s in split for p in s} - self.known.keys()
-        if len(self.known) + len(new) > self.cache_pieces:
-            self.forget()
-            new = {p for s in split for p in s}
-        if new:
-            self.learn(new)
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+        flat = list(chain.from_iterable(split))
+        number = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            new = {flat[i] for i in missing}
+            if len(self.known) + len(new) > self.cache_pieces:
+                self.forget()
+                new, missing = set(flat), range(len(flat))
+            self.learn(new)
+            number[missing] = [self.known[flat[i]] for i in missing]
         return *_gather(self.ids, self.id_at, number, bounds), *_gather(self.bytes, self.byte_at, number, bounds)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + size[0] - 1, start[1], ..."""
+    reach = np.cumsum(size)
+    return np.repeat(start - reach + size, size) + np.arange(reach[-1] if len(reach) else 0)
+
+
 def _gather(flat: np.ndarray, at: np.ndarray, number: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[at[i]:at[i+1]] of each i in number, one after the other, and the rows' bounds in them."""
     size = at[number + 1] - at[number]
-    reach = np.concatenate([[0], np.cumsum(size)])
-    index = np.repeat(at[number] - reach[:-1], size) + np.arange(reach[-1])
-    return flat[index], reach[bounds]
+    return flat[_ranges(at[number], size)], np.concatenate([[0], np.cumsum(size)])[bounds]
 
 
 _CODERS: dict[tuple, DuckBpe] = {}
