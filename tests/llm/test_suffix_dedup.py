@@ -54,6 +54,19 @@ def test_windows_brute_force():
         assert sd.repeated_windows(raw, off, depth).tolist() == want
 
 
+def test_hashed_pointers_are_equal_where_bytes_are():
+    rng = random.Random(5)
+    for depth in (3, 8, 11, 16, 24, 200):
+        raw = bytes(rng.choice(b"ab") for _ in range(700)) + b"a" * 300
+        p = sd.hashed_pointers(np.frombuffer(raw, np.uint8), depth)
+        assert len(p) == len(raw) - depth + 1
+        by = {}
+        for i, x in enumerate(p.tolist()):
+            assert by.setdefault(raw[i : i + depth], x) == x
+        assert len(set(by.values())) == len(by)
+    assert len(sd.hashed_pointers(np.zeros(5, np.uint8), 200)) == 0
+
+
 def check(spark, texts, hot):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, kept string").repartition(3)
     got = {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(df, hot=hot).collect()}

@@ -15,12 +15,21 @@ else in the collection, same document included.
    more is split by the bucket pointers of later offsets, and the new pointers are
    used by the next round, up to depth WINDOW.  Windows that still share a bucket
    are equal.
-4. Buckets of more than ``hot`` distinct segments (one passage in very many
-   documents) would not fit a task.  Their windows are compared by a distributed count of
-   window hashes instead, which is as complete.
+4. A bucket of more than ``hot`` distinct segments (one passage in very many
+   documents) is too large for a task and is refined across tasks: the pointer of a
+   window at depth 2h is made of the pointers at depth h of its start and of h bytes
+   later, as in 3, but as a hash of the two in place of a rank, so that pointers of
+   different tasks can be compared; pointers at depth WINDOW are counted by a
+   distributed, pre-aggregated groupBy.
+
+Segments are counted by (anchor, segment) before anything is joined, and the only
+rows joined on a key that may be hot are plain two-sided joins, which adaptive
+execution splits.
 
 Texts are keyed by (xxhash64, byte length), so exact copies share their spans and
-the rows of the input need no unique id.
+the rows of the input need no unique id.  Anchors, segments and pointers of 4 are
+64-bit hashes: two different segments under one anchor, or windows of one hot bucket,
+that collide would be taken for equal (odds of 2^-64 for each such pair).
 
 Defined results: a null text is empty; texts under WINDOW bytes lose nothing;
 repeated rows of WINDOW bytes or more are copies and lose everything; columns of
@@ -38,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_signed, batches_by_bytes, mix, powers, settle, span_hash, string_buffer, table
+from .common import MULT, as_signed, batches_by_bytes, mix, powers, settle, span_hash, string_buffer, table
 
 WINDOW, Q = 200, 24
 CHUNK = 1 << 20
@@ -133,6 +142,21 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, depth: int = WINDOW)
         done += step
 
 
+def hashed_pointers(raw: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """Refinement with hashes for ranks: equal pointers at i and j where the depth bytes from there are equal."""
+    pointer, done = raw.astype(np.uint64), 1
+    while done < depth:
+        step = min(done, depth - done)
+        n = max(0, len(pointer) - step)
+        with np.errstate(over="ignore"):
+            if done < 8:
+                pointer = (pointer[:n] << np.uint64(8 * done)) | pointer[step:]
+            else:
+                pointer = mix(pointer[:n] * np.uint64(MULT) + mix(pointer[step:] + np.uint64(done)))
+        done += step
+    return pointer
+
+
 def keyed(docs: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return docs.select(F.xxhash64(t).alias("k"), F.octet_length(t).alias("n"), t.alias("t")).filter(F.col("n") >= WINDOW)
@@ -172,8 +196,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(have) or not len(want):
                 continue
             by = np.argsort(have)
-            i = np.minimum(np.searchsorted(have[by], want), len(have) - 1)
-            bit = np.where(have[by][i] == want, bits[by][i], 0)
+            have, head = np.unique(have[by], return_index=True)
+            bits = np.bitwise_or.reduceat(bits[by], head)
+            i = np.minimum(np.searchsorted(have, want), len(have) - 1)
+            bit = np.where(have[i] == want, bits[i], 0)
             _, first = np.unique(want, return_index=True)
             once = np.zeros(len(want), bool)
             once[first] = True
@@ -190,12 +216,9 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in np.flatnonzero(send & (bit & FLAGS[2] == 0)):
                 rows.append((MIXED, row[x], at[x], size[x], as_signed(a[x : x + 1])[0], raw[at[x] : at[x] + size[x] + WINDOW - 1].tobytes(), None))
             if len(hot := np.flatnonzero(send & (bit & FLAGS[2] > 0))):
-                from .common import prefix_hash
-
-                prefix = prefix_hash(raw)
+                pointer = as_signed(hashed_pointers(raw))
                 for x in hot:
-                    i = np.arange(at[x], at[x] + size[x])
-                    rows.append((HOT, row[x], at[x], size[x], 0, None, as_signed(span_hash(prefix, i, i + WINDOW)).tolist()))
+                    rows.append((HOT, row[x], at[x], size[x], 0, None, pointer[at[x] : at[x] + size[x]].tolist()))
             if not rows:
                 continue
             kd, rw, ps, sz, an, sg, hs = zip(*rows, strict=True)
@@ -257,20 +280,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = 24_000) -> Da
     """
     texts = keyed(docs, text)
     req = texts.mapInArrow(_requests, "a bigint, s bigint, k bigint, n int")
-    shared = req.groupBy("a").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed"))
-    near = settle(req.join(shared.hint("merge"), "a"), "anchors")
-    mixed = near.filter("mixed")
-    each = mixed.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("sender"))
-    each = each.join(each.groupBy("a").agg(F.count(F.lit(1)).alias("d")).hint("merge"), "a")
-    bits = F.when(F.col("c") > 1, FLAGS[0]).otherwise(0) + F.when(F.struct("k", "n") == F.col("sender"), FLAGS[1]).otherwise(0) + F.when(F.col("d") > hot, FLAGS[2]).otherwise(0)
-    told = mixed.select("a", "s", "k", "n").join(each.hint("merge"), ["a", "s"]).select("k", "n", "s", bits.alias("bits"))
-    flags = near.filter("not mixed").select("k", "n", "s", F.lit(FLAGS[0]).alias("bits")).unionByName(told).groupBy("k", "n").agg(F.collect_set(F.struct("s", "bits")).alias("flags"))
-    found = settle(texts.join(flags.hint("merge"), ["k", "n"]).select("k", "n", "t", "flags").mapInArrow(_answers, FOUND), "segments")
+    each = settle(req.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("sender")), "segments")
+    met = each.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("m")).filter("m > 1").select("a", "d")
+    again = req.join(each.filter("c > 1").select("a", "s").hint("merge"), ["a", "s"]).select("k", "n", "s", F.lit(FLAGS[0]).alias("bits"))
+    sent = each.join(met.filter("d > 1").hint("merge"), "a").select("sender.k", "sender.n", "s", (F.lit(FLAGS[1]) + F.when(F.col("d") > hot, FLAGS[2]).otherwise(0)).alias("bits"))
+    flags = again.unionByName(sent).groupBy("k", "n").agg(F.collect_set(F.struct("s", "bits")).alias("flags"))
+    found = settle(texts.join(flags.hint("merge"), ["k", "n"]).select("k", "n", "t", "flags").mapInArrow(_answers, FOUND), "found")
     known = found.filter(F.col("kind") == SAME).select("k", "n", "at", "size")
     mixed = found.filter(F.col("kind") == MIXED).select("a", "seg", "k", "n", "at").repartition("a").sortWithinPartitions("a").mapInArrow(_refine, "k bigint, n int, at int, size int")
     windows = found.filter(F.col("kind") == HOT).select("k", "n", "at", F.posexplode("hashes").alias("i", "h")).select("k", "n", (F.col("at") + F.col("i")).alias("at"), "h")
     twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    crowd = windows.join(twice, "h").select("k", "n", "at", F.lit(1).alias("size"))
+    crowd = windows.join(twice.hint("merge"), "h").select("k", "n", "at", F.lit(1).alias("size"))
     return known.unionByName(mixed).unionByName(crowd).groupBy("k", "n").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
 
 
