@@ -73,6 +73,14 @@ def test_lm_counts_and_scores(spark):
     assert better >= sum(r.held_out for r in got) * 0.7
 
 
+def test_words_that_collide_as_polynomials():
+    """Thue-Morse words of opposite sign are equal for every polynomial modulo 2**64."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    u = t.translate(str.maketrans("ab", "ba"))
+    w, _, _ = lm.tokens(lm.pa.array([f"{t} {u} {t}"]))
+    assert w[0] == w[2] != w[1]
+
+
 def test_lm_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm.score(df, F.lit(False)).count() == 0
@@ -81,14 +89,18 @@ def test_lm_empty(spark):
 
 
 def brute(doc, item):
-    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", doc or "")]
-    m = [re.sub("[A-Z]", lambda x: x[0].lower(), y) for y in re.findall(r"[^\x20\x09-\x0D]+", item or "")]
-    sh = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)] if x else [])
+    """Greatest similarity of an item-sized window and its place, over the words themselves."""
+    lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    w, m = lower(doc), lower(item)
+    if not w or not m:
+        return (0.0, -1)
+    if len(m) < 5:
+        at = next((i for i in range(len(w) - len(m) + 1) if w[i : i + len(m)] == m), None)
+        return (0.0, -1) if at is None else (1.0, -at)
+    if len(w) < 5:
+        return (0.0, -1)
+    sh = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
     a, best = sh(m), (0.0, -1)
-    if not a or not w:
-        return best
-    if len(m) < 5 or len(w) < 5:
-        return (float(m == w), 0)
     for s in range(max(1, len(w) - len(m) + 1)):
         b = sh(w[s : s + len(m)])
         least = sum((a & b).values())
@@ -100,21 +112,21 @@ def test_decontamination_brute_force(spark):
     rng = random.Random(8)
     words = vocab(rng)
     pick = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(0, None), (1, ""), (2, "two words")] + [(i, " ".join(pick(rng.randrange(12, 40)))) for i in range(3, 12)]
-    docs = [(0, None), (1, ""), (2, "x two WORDS y"), (3, "w " * 30)]
+    items = [(0, None), (1, ""), (2, "two words"), (12, "Alone"), (13, "w w w w w w"), (14, " ".join(pick(5)))] + [(i, " ".join(pick(rng.randrange(12, 40)))) for i in range(3, 12)]
+    docs = [(0, None), (1, ""), (2, "x two WORDS y two words"), (3, "w " * 30), (100, "alone"), (101, "two"), (102, "so ALONE here"), (103, items[5][1] + " end")]
     for i in range(4, 60):
         body = pick(rng.randrange(5, 120))
         if i % 2:
-            p = items[rng.randrange(3, 12)][1].split()
+            p = dict(items)[rng.randrange(3, 12)].split()
             for _ in range(rng.randrange(0, 3)):
                 p[rng.randrange(len(p))] = rng.choice(words)
             k = rng.randrange(len(body))
             body[k:k] = [p[0].upper(), *p[1:]]
         docs.append((i, " ".join(body)))
-    docs += [(98, "Two\twords"), (99, items[5][1])]
+    docs += [(98, "Two\twords"), (99, dict(items)[5])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     it = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in dc.find(df, it, block_items=5).collect()}
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in dc.find(df, it, block_bytes=1500).collect()}
     want = {}
     for d, t in docs:
         for i, x in items:
@@ -122,7 +134,8 @@ def test_decontamination_brute_force(spark):
             if sim >= 0.8:
                 want[d, i] = (sim, -s)
     assert set(got) == set(want)
-    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want if len((dict(items)[k[1]] or "").split()) >= 5)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+    assert {(2, 2), (98, 2), (100, 12), (102, 12), (3, 13)} <= set(want)
     kept = dc.clean(df, it)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
@@ -133,3 +146,40 @@ def test_decontamination_empty(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert dc.find(none, items).count() == 0
     assert dc.find(spark.createDataFrame([(1, "a b c d e f")], none.schema), items.limit(0)).count() == 0
+
+
+def test_multi_index_finds_all_within_radius(monkeypatch):
+    """Many items of one length, probed in chunks, against all distances."""
+    monkeypatch.setattr(dc, "PAIRS", 1000)
+    rng = np.random.default_rng(4)
+    for radius in (0, 7, 15, 21):
+        g = dc.Group(9, list(range(300)))
+        g.prints = list(rng.integers(0, 256, (300, 8), dtype=np.uint8))
+        g.index(radius)
+        windows = rng.integers(0, 256, (120, 8), dtype=np.uint8)
+        windows[:40] = g.prints[:40]
+        for i in range(40):
+            for b in rng.choice(64, i % 24, replace=False):
+                windows[i, b // 8] ^= 1 << (b % 8)
+        away = np.bitwise_count(windows[:, None, :] ^ g.prints[None, :, :]).sum(axis=2)
+        want = {(w, k, int(away[w, k])) for w, k in zip(*np.nonzero(away <= radius), strict=True)}
+        assert {(int(w), int(k), int(d)) for w, k, d in zip(*g.within(windows, radius), strict=True)} == want
+
+
+def test_radius_covers_similar_windows():
+    """Windows of similarity 0.8 and more lie within 21 bits."""
+    rng = np.random.default_rng(6)
+    lost = seen = 0
+    for _ in range(3000):
+        n = int(rng.integers(8, 80))
+        item = rng.integers(0, 2**63, n, dtype=np.uint64)
+        window = item.copy()
+        k = int(n * rng.uniform(0, 0.12))
+        window[:k] = rng.integers(0, 2**63, k, dtype=np.uint64)
+        a, b = Counter(item.tolist()), Counter(window.tolist())
+        least = (a & b).total()
+        if least / (a.total() + b.total() - least) >= 0.8:
+            seen += 1
+            p = [dc.fingerprint(dc.signs(x).sum(axis=0, keepdims=True))[0] for x in (item, window)]
+            lost += int(np.bitwise_count(p[0] ^ p[1]).sum()) > 21
+    assert seen > 2000 and lost == 0

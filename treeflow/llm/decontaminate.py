@@ -1,22 +1,31 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
 A benchmark item of m words is looked for in every m-word window that starts
-near a shingle (five words, ASCII lower case) the benchmark knows; elsewhere the
-similarity is 0.  A window's 64-bit SimHash over its shingle counts is looked up
-in eight byte-indexed blocks, each probed within ``radius // 8`` bits, which by
-the pigeonhole principle finds every item fingerprint within ``radius`` bits.
+near a shingle (five words, or m words where an item has fewer; ASCII lower case)
+the benchmark knows; elsewhere the similarity is 0.  A window's 64-bit SimHash over
+its shingle counts is looked up in eight byte-indexed blocks: each block maps a byte
+to the bitmap of the items whose byte lies within ``radius // 8`` bits of it, which
+by the pigeonhole principle finds every item fingerprint within ``radius`` bits.
 Each candidate is then verified exactly: sum of least over sum of greatest
 shingle counts must reach ``threshold`` (0.8).
 
-The items are read in blocks of ``block_items`` and only one block, whose size is
-so bounded, is sent to the executors at a time.
+Radius 21 holds four standard deviations of the distance of a pair of similarity 0.8
+whose shingles differ from each other (a change that repeats one shingle many times can
+lie farther out and is then not found).  At that radius a block admits 2 of 8 bits and the eight of them some 70 % of unrelated pairs,
+so the lists are held as bitmaps and windows are probed in chunks of at most
+``PAIRS`` window-item pairs, however many items share a length.
+
+Items are broadcast behind a check of their size: a block of them has at most
+``block_bytes`` of text and the documents are scanned once for each block, so once
+for a benchmark of up to that size.
 
 Defined results: null texts and texts without words match nothing; a text of
-fewer words than an item is one window; an item or text of fewer than five words
-is one shingle, so it matches only a text or item of just these words; each (row, item) gives at most one row,
-the window of greatest similarity, first place on ties; repeated rows and items
-each report; an empty table on either side gives an empty result; columns of the
-documents other than id and text are ignored by ``find`` and kept by ``clean``.
+fewer words than an item is one window; an item of fewer than five words is one
+shingle of its own length and is found wherever these words stand in a row; each
+(row, item) gives at most one row, the window of greatest similarity, first place on
+ties; repeated rows and items each report; an empty table on either side gives an
+empty result; columns of the documents other than id and text are ignored by
+``find`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -34,12 +43,13 @@ from pyspark.sql import types as T
 from .common import LOWER, batches_by_bytes, string_buffer, table, word_shingles
 
 WORDS, BITS, BLOCKS = 5, 64, 8
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+PAIRS = 1 << 22
+DIFFER = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, off = string_buffer(texts)
-    return word_shingles(LOWER[raw], off, WORDS)
+    return word_shingles(LOWER[raw], off, words)
 
 
 def signs(h: np.ndarray) -> np.ndarray:
@@ -61,27 +71,54 @@ class Group:
     ids: list = field(default_factory=list)
     counts: list = field(default_factory=list)
     prints: list = field(default_factory=list)
-    near: np.ndarray | None = None  # (blocks, byte value, item): within the block's radius
+    near: np.ndarray | None = None  # (blocks, byte value, items / 8): bitmap of the items within the block's radius
+
+    def index(self, radius: int) -> None:
+        self.prints = np.array(self.prints)
+        self.near = np.stack([np.packbits(DIFFER[:, self.prints[:, j]] <= radius // BLOCKS, axis=1) for j in range(BLOCKS)])
+
+    def within(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of all fingerprints of windows and items within radius bits."""
+        found = []
+        own = self.prints.view(np.uint64).ravel()
+        step = max(1, PAIRS // len(self.ids))
+        for at in range(0, len(prints), step):
+            part = prints[at : at + step]
+            hit = self.near[0][part[:, 0]]
+            for j in range(1, BLOCKS):
+                hit = hit | self.near[j][part[:, j]]
+            w, k = np.nonzero(np.unpackbits(hit, axis=1, count=len(self.ids)))
+            away = np.bitwise_count(part.view(np.uint64).ravel()[w] ^ own[k])
+            near = np.flatnonzero(away <= radius)
+            found.append((w[near] + at, k[near], away[near]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Items:
+    """The items of a block by words in a shingle: five, or the item's own number where it has fewer."""
+
     def __init__(self, rows: list[tuple], radius: int):
         self.radius = radius
+        texts = pa.array([t or "" for _, t in rows], pa.string())
+        size = np.minimum(shingles(texts)[2], WORDS)
+        self.sizes = {int(k): Part([rows[i] for i in np.flatnonzero(size == k)], int(k), radius) for k in np.unique(size) if k}
+
+
+class Part:
+    def __init__(self, rows: list[tuple], words: int, radius: int):
+        self.radius, self.size = radius, words
         self.groups: dict[int, Group] = {}
-        h, bounds, words = shingles(pa.array([t or "" for _, t in rows], pa.string()))
+        h, bounds, words = shingles(pa.array([t for _, t in rows], pa.string()), words)
         for i, (item, _) in enumerate(rows):
             own = h[bounds[i] : bounds[i + 1]]
-            if len(own):
-                g = self.groups.setdefault(int(words[i]), Group(int(words[i])))
-                g.ids.append(item)
-                g.counts.append(Counter(own.tolist()))
-                g.prints.append(fingerprint(signs(own).sum(axis=0, keepdims=True))[0])
-        differ = POPCOUNT[np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]]
+            g = self.groups.setdefault(int(words[i]), Group(int(words[i])))
+            g.ids.append(item)
+            g.counts.append(Counter(own.tolist()))
+            g.prints.append(fingerprint(signs(own).sum(axis=0, keepdims=True))[0])
         for g in self.groups.values():
-            g.prints = np.array(g.prints)
-            g.near = np.stack([differ[:, g.prints[:, j]] <= radius // BLOCKS for j in range(BLOCKS)])
+            g.index(radius)
         self.known = np.unique(h)
-        self.longest = max(self.groups, default=0)
+        self.longest = max(self.groups)
         self.filter = np.zeros(1 << 18, bool)
         self.filter[(self.known & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
@@ -92,43 +129,32 @@ class Items:
 
     def search(self, h: np.ndarray, seeds: np.ndarray, words: int, threshold: float) -> list[tuple]:
         """(item, start, words, hamming, similarity) of one text, from its shingles and seed places."""
-        best: dict[int, tuple] = {}
+        best: dict[tuple, tuple] = {}
         breaks = np.flatnonzero(np.diff(seeds) > self.longest)
         for part in np.split(seeds, breaks + 1):
             lo, hi = max(0, int(part[0]) - self.longest), min(len(h), int(part[-1]) + self.longest + 1)
             total = np.zeros((hi - lo + 1, BITS), np.int32)
             np.cumsum(signs(h[lo:hi]), axis=0, out=total[1:])
             for m, g in self.groups.items():
-                width = max(1, m - WORDS + 1)
-                if m >= WORDS and words < WORDS:
-                    width = 1
-                width = min(width, len(h))
-                mark = np.zeros(len(h) + 1, np.int32)
-                np.add.at(mark, np.clip(part - width + 1, 0, len(h) - width), 1)
-                np.add.at(mark, np.minimum(part, len(h) - width) + 1, -1)
-                starts = np.flatnonzero(np.cumsum(mark)[: len(h) - width + 1] > 0)
-                starts = starts[(starts >= lo) & (starts + width <= hi)]
-                if not len(starts):
-                    continue
+                width = min(max(1, m - self.size + 1), len(h))
+                mark = np.zeros(hi - lo + 1, np.int32)
+                np.add.at(mark, np.clip(part - width + 1, lo, hi - width) - lo, 1)
+                np.add.at(mark, np.minimum(part, hi - width) - lo + 1, -1)
+                starts = np.flatnonzero(np.cumsum(mark)[: hi - lo - width + 1] > 0) + lo
                 prints = fingerprint(total[starts + width - lo] - total[starts - lo])
-                probe = np.zeros((len(starts), len(g.ids)), bool)
-                for j in range(BLOCKS):
-                    probe |= g.near[j][prints[:, j]]
-                w, k = np.nonzero(probe)
-                away = POPCOUNT[prints[w] ^ g.prints[k]].sum(axis=1)
-                for i in np.flatnonzero(away <= self.radius):
-                    s = int(starts[w[i]])
-                    a, b = g.counts[k[i]], Counter(h[s : s + width].tolist())
+                for w, k, away in zip(*g.within(prints, self.radius), strict=True):
+                    s = int(starts[w])
+                    a, b = g.counts[k], Counter(h[s : s + width].tolist())
                     least = sum(min(c, b[x]) for x, c in a.items() if x in b)
                     sim = least / (a.total() + b.total() - least)
-                    key = (m, int(k[i]))
+                    key = (m, int(k))
                     if sim >= threshold and (key not in best or (-sim, s) < (-best[key][4], best[key][1])):
-                        best[key] = (g.ids[k[i]], s, min(m, words), int(away[i]), sim)
+                        best[key] = (g.ids[k], s, min(m, words), int(away), sim)
         return list(best.values())
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 21, block_items: int = 20_000, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, start_word, n_words, hamming, similarity; narrow over docs, once for each block of items."""
+def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 21, block_bytes: int = 32 << 20, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """doc_id, item_id, start_word, n_words, hamming, similarity; narrow over docs, which are scanned once for each block of items."""
     spark = docs.sparkSession
     id_type = docs.schema[id_].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hamming", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
@@ -141,28 +167,30 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int
             from pyspark.sql.pandas.types import to_arrow_schema
 
             known, out = Items(sent.value, radius), to_arrow_schema(schema)
-            for batch in batches if known.groups else ():
+            for batch in batches if known.sizes else ():
                 for b in batches_by_bytes(batch, "t", 1 << 20):
-                    h, bounds, words = shingles(b.column(1))
-                    seeds = known.seeds(h)
-                    owner = np.searchsorted(bounds, seeds, side="right") - 1
                     rows = []
-                    for i in np.unique(owner):
-                        own = seeds[owner == i] if len(seeds) < 64 else seeds[np.searchsorted(owner, i) : np.searchsorted(owner, i, side="right")]
-                        for hit in known.search(h[bounds[i] : bounds[i + 1]], own - bounds[i], int(words[i]), threshold):
-                            rows.append((b.column(0)[int(i)].as_py(), *hit))
+                    for size, part in known.sizes.items():
+                        h, bounds, words = shingles(b.column(1), size)
+                        seeds = part.seeds(h)
+                        owner = np.searchsorted(bounds, seeds, side="right") - 1
+                        who, first = np.unique(owner, return_index=True)
+                        for i, own in zip(who.tolist(), np.split(seeds, first[1:]), strict=True) if len(who) else ():
+                            for hit in part.search(h[bounds[i] : bounds[i + 1]], own - bounds[i], int(words[i]), threshold):
+                                rows.append((b.column(0)[i].as_py(), *hit))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(v, out.field(j).type) for j, v in enumerate(zip(*rows, strict=True))], names=out.names)
 
         return source.mapInArrow(run, schema)
 
-    found, block = None, []
-    rows = items.select("item_id", F.col("text").cast("string")).toLocalIterator()
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
+    found, block, held = None, [], 0
+    for item, words in items.select("item_id", F.col("text").cast("string")).toLocalIterator():
+        size = len(words or "") * 4
+        if block and held + size > block_bytes:
             found = scan(block) if found is None else found.unionByName(scan(block))
-            block = []
+            block, held = [], 0
+        block.append((item, words))
+        held += size
     if block or found is None:
         found = scan(block) if found is None else found.unionByName(scan(block))
     return found
