@@ -114,6 +114,20 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(MULT))
 
 
+#: From this length on words are hashed byte by byte with a strong hash: polynomials modulo 2**64 collide on long patterns.
+LONG_WORD = 512
+
+
+def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words raw[start:end]."""
+    import xxhash
+
+    h = span_hash(prefix_hash(raw), start, end)
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return h
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -163,7 +177,7 @@ def word_shingles(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple
     count = np.bincount(row, minlength=rows)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), count
-    word = span_hash(prefix_hash(raw), start, end)
+    word = word_hash(raw, start, end)
     first = np.concatenate([[0], np.cumsum(count)])
     made = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     bounds = np.concatenate([[0], np.cumsum(made)])

@@ -9,8 +9,11 @@ Counts cover all training documents and are exact.  Documents are dealt into
 groups of about ``group_bytes``.  A group sends its distinct words and word pairs
 with their counts, sorted and delta-packed, to hash-range buckets; a bucket adds
 up the counts of all groups and answers in the order asked, so a word or pair
-costs one entry a group however often it occurs.  The second visit to the same
-groups turns answers into per-token counts (``terms``), from which the weights
+costs one entry a group however often it occurs.  Groups and buckets grow in number
+with the input, never in size, and are dealt over twice as many partitions as there
+are of them, so the largest task stays as it is; packs without entries are not sent,
+so there are never more rows than distinct entries of the groups, as if each entry
+were a row of its own.  The second visit to the same groups turns answers into per-token counts (``terms``), from which the weights
 (via a histogram of bounded size) and the scores are computed.
 
 Defined results: a null or empty text is one end token; documents of equal id
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, batches_by_bytes, groups_for, mix, prefix_hash, settle, span_hash, string_buffer, table, word_spans
+from .common import LOWER, batches_by_bytes, groups_for, mix, settle, string_buffer, table, word_hash, word_spans
 
 START, END = np.uint64(0x51ED270B2F6E3A8D), np.uint64(0xC2B2AE3D27D4EB4F)
 STEPS = 8  # histogram cells per power of two
@@ -45,7 +48,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows) + 1)])
     w = np.full(bounds[-1], END, np.uint64)
     if len(s):
-        w[np.arange(len(s)) + row] = span_hash(prefix_hash(raw), s, e)
+        w[np.arange(len(s)) + row] = word_hash(raw, s, e)
     before = np.empty_like(w)
     before[1:] = w[:-1]
     before[bounds[:-1]] = START
@@ -156,10 +159,11 @@ def terms(docs: DataFrame, held: object, text: str = "text", id_: str = "doc_id"
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     dealt = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_}`"), t), F.lit(n)).alias("g"), F.col(f"`{id_}`").alias("doc_id"), held.alias("held"), t.alias("t"))
     binary = "word_n binary, pair_n binary"
+    dealt = dealt.repartition(2 * n, "g")
     asked = dealt.groupBy("g").applyInArrow(_asker(n), "g bigint, b bigint, words binary, word_n binary, pairs binary, pair_n binary")
-    told = asked.groupBy("b").applyInArrow(_answer, f"g bigint, b bigint, {binary}, v bigint")
+    told = asked.repartition(2 * n, "b").groupBy("b").applyInArrow(_answer, f"g bigint, b bigint, {binary}, v bigint")
     id_type = docs.schema[id_].dataType.simpleString()
-    return settle(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_terms, f"doc_id {id_type}, held boolean, n_tokens bigint, bits int, {binary}, v bigint"), "terms")
+    return settle(dealt.groupBy("g").cogroup(told.repartition(2 * n, "g").groupBy("g")).applyInArrow(_terms, f"doc_id {id_type}, held boolean, n_tokens bigint, bits int, {binary}, v bigint"), "terms")
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
