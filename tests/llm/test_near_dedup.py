@@ -155,6 +155,25 @@ def test_ids_and_empty(spark):
     assert nd.near_classes(none).count() == 0
 
 
+def test_which_of_equal_rows_stays(spark):
+    """Rows of equal id and text: the same one stays however the table is dealt."""
+    rows = [(7, "same words in here now ok", f"s{i}", None) for i in range(20)] + [(3, None, "x", None), (3, "", "y", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, u string")
+    got = {tuple(sorted((r.doc_id, r.source) for r in nd.keep_first(df.repartition(n)).collect())) for n in (1, 3, 5)}
+    assert len(got) == 1 and len(next(iter(got))) == 2
+
+
+def test_scope_deletes_what_it_does_not_keep(spark, tmp_path):
+    from treeflow.llm.common import scope, settle
+
+    with scope(spark):
+        with scope(spark) as keep:
+            gone, kept = settle(spark.range(3)), keep(settle(spark.range(4)))
+        assert kept.count() == 4
+        assert not spark._jvm.java.io.File(gone._settled.removeprefix("file://")).exists()
+    assert not spark._jvm.java.io.File(kept._settled.removeprefix("file://")).exists()
+
+
 def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "u bigint, v bigint")
     got = {r.u: r.c for r in components(links).collect()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +44,48 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are deleted at its end, but for those handed to the function it gives (the scope around it owns them)."""
+    outer, own = _SCOPE.get(), []
+    token = _SCOPE.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = getattr(df, "_settled", None)
+        if path in own:
+            own.remove(path)
+            if outer is not None:
+                outer.append(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more, through the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is
     cut and any executor can read the rows again after another one is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/treeflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
+    return out
 
 
 def groups_for(df: DataFrame, column: str, group_bytes: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import scope, settle
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,11 +34,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     joins a node to its component's least node.  Nodes may be of any orderable type.  A table
     without links gives an empty result.
     """
-    edges = links.select("u", "v").filter("u <> v")
-    for _ in range(most_rounds):
-        edges = settle(_small(_large(edges)), "edges")
-        if _stars(edges):
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return settle(edges.select("u", F.col("v").alias("c")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("c"))).distinct(), "components")
+    with scope(links.sparkSession) as keep:
+        edges = links.select("u", "v").filter("u <> v")
+        for _ in range(most_rounds):
+            edges = settle(_small(_large(edges)), "edges")
+            if _stars(edges):
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        return keep(settle(edges.select("u", F.col("v").alias("c")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("c"))).distinct(), "components"))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_signed, batches_by_bytes, mix, settle, string_buffer, table, word_shingles
+from .common import as_signed, batches_by_bytes, mix, scope, settle, string_buffer, table, word_shingles
 from .graph import components
 
 WORDS = 5
@@ -69,15 +69,13 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, bounds
 
 
-POSITION_BITS = np.uint64(26)
-
-
 def order_minhash(h: np.ndarray, bounds: np.ndarray, sketches: int) -> np.ndarray:
     """(rows with shingles, sketches) keys of the two least shingles in text order."""
     begin = bounds[:-1][np.diff(bounds) > 0]
     size = np.diff(np.append(begin, len(h)))
-    low = np.uint64((1 << 26) - 1)
-    place = (np.arange(len(h)) - np.repeat(begin, size)).astype(np.uint64) & low
+    # the place takes the low bits of the hash; more of them only for a text of over 2**26 shingles
+    low = np.uint64((1 << max(26, int(size.max(initial=0)).bit_length())) - 1)
+    place = (np.arange(len(h)) - np.repeat(begin, size)).astype(np.uint64)
     out = np.zeros((len(begin), sketches), np.uint64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     with np.errstate(over="ignore"):
@@ -287,27 +285,28 @@ def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame
 
 def text_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, sketches: int = 12, rounds: int = 2) -> DataFrame:
     """u, c for each text that is linked to another one; c is the least u of its class."""
-    sk = settle(sketch(docs, text, sketches).groupBy("u").agg(F.first("sk").alias("sk"), F.first("n").alias("n")), "sketches")
-    buckets = sk.select("u", F.explode("sk").alias("b"))
-    tested = settle(_star(buckets), "candidates")
-    touched = settle(tested.select("u").union(tested.select("v")).distinct(), "touched")
-    texts = settle(docs.select(*_key(text)).join(touched.hint("merge"), "u", "left_semi").dropDuplicates(["u"]), "texts")
-    links = settle(verify(tested, texts, threshold), "links")
-    classes = components(links)
-    for r in range(1, rounds + 1):
-        both = [F.xxhash64(F.element_at("sk", i + 1), F.element_at("sk", (i + r) % sketches + 1)) for i in range(sketches)]
-        rows = sk.join(touched.hint("merge"), "u", "left_semi").join(classes.hint("merge"), "u", "left").select("u", F.coalesce("c", "u").alias("c"), F.explode(F.array(*both)).alias("b"))
-        rows = settle(rows, "rows")
-        pairs = settle(_between(rows, tested), "candidates")
-        if pairs.isEmpty():
-            continue
-        new = settle(verify(pairs, texts, threshold), "links")
-        tested = settle(tested.unionByName(pairs), "candidates")
-        if not new.isEmpty():
-            links = settle(links.unionByName(new), "links")
-            classes = components(links)
-    new = _rest(sk.join(touched.hint("merge"), "u", "left_semi"), classes, texts, tested, threshold)
-    return classes if new.isEmpty() else components(links.unionByName(new))
+    with scope(docs.sparkSession) as keep:
+        sk = settle(sketch(docs, text, sketches).groupBy("u").agg(F.first("sk").alias("sk"), F.first("n").alias("n")), "sketches")
+        buckets = sk.select("u", F.explode("sk").alias("b"))
+        tested = settle(_star(buckets), "candidates")
+        touched = settle(tested.select("u").union(tested.select("v")).distinct(), "touched")
+        texts = settle(docs.select(*_key(text)).join(touched.hint("merge"), "u", "left_semi").dropDuplicates(["u"]), "texts")
+        links = settle(verify(tested, texts, threshold), "links")
+        classes = components(links)
+        for r in range(1, rounds + 1):
+            both = [F.xxhash64(F.element_at("sk", i + 1), F.element_at("sk", (i + r) % sketches + 1)) for i in range(sketches)]
+            rows = sk.join(touched.hint("merge"), "u", "left_semi").join(classes.hint("merge"), "u", "left").select("u", F.coalesce("c", "u").alias("c"), F.explode(F.array(*both)).alias("b"))
+            rows = settle(rows, "rows")
+            pairs = settle(_between(rows, tested), "candidates")
+            if pairs.isEmpty():
+                continue
+            new = settle(verify(pairs, texts, threshold), "links")
+            tested = settle(tested.unionByName(pairs), "candidates")
+            if not new.isEmpty():
+                links = settle(links.unionByName(new), "links")
+                classes = components(links)
+        new = _rest(sk.join(touched.hint("merge"), "u", "left_semi"), classes, texts, tested, threshold)
+        return keep(classes if new.isEmpty() else components(links.unionByName(new)))
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -> DataFrame:
@@ -326,10 +325,11 @@ def keep_first(docs: DataFrame, text: str = "text", id_: str = "doc_id", **optio
     named = near_classes(docs, text, id_, **options).filter("u = rep").select(F.col("doc_id").alias("__id"), "class_id", F.col("u").alias("__u")).filter(F.col("__id").eqNullSafe(F.col("class_id"))).select("__id", "__u").distinct()
     rows = docs.select("*", _key(text)[0].alias("__u"))
     kept = rows.join(named.hint("merge"), (rows["__u"] == named["__u"]) & rows[f"`{id_}`"].eqNullSafe(named["__id"]), "left_semi")
-    return kept.dropDuplicates(["__u"]).drop("__u")
+    # rows of equal id and text: the one whose other columns have the least hash, so that which one stays is defined
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_, text))))) if len(docs.columns) > 2 else F.lit(0)
+    one = kept.groupBy("__u").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), others).alias("__row"))
+    return one.select("__row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
-
-
