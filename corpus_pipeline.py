@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-dedup, suffix-array dedup, decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are
-written as Parquet and read back as the next stage's docs.
+written as Parquet and read back as the next stage's docs.  A stage's own
+intermediate tables, and the rows of the stage before it, are deleted once it is
+written.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeflow.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
-from treeflow.llm.common import shared_dir, small_batches, table
+from treeflow.llm.common import delete, scope, shared_dir, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,9 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/treeflow/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
