@@ -22,9 +22,8 @@ else in the collection, same document included.
    different tasks can be compared; pointers at depth WINDOW are counted by a
    distributed, pre-aggregated groupBy.
 
-Segments are counted by (anchor, segment) before anything is joined, and the only
-rows joined on a key that may be hot are plain two-sided joins, which adaptive
-execution splits.
+Segments are counted by (anchor, segment) before anything is joined, and the joins
+on anchors and segments deal every key, hot or not, to SALTS parts.
 
 Texts are keyed by (xxhash64, byte length), so exact copies share their spans and
 the rows of the input need no unique id.  Anchors, segments and pointers of 4 are
@@ -47,10 +46,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, as_signed, batches_by_bytes, mix, powers, settle, span_hash, string_buffer, table
+from .common import MULT, as_signed, batches_by_bytes, mix, powers, scope, settle, span_hash, string_buffer, table
 
 WINDOW, Q = 200, 24
 CHUNK = 1 << 20
+SALTS = 16  # parts of a hot key; the other side of the join is repeated for each
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -163,13 +163,17 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows a, s, k, n of segments, and z, which deals them in turn to SALTS parts."""
+    seen = 0
     for batch in batches:
         for b in batches_by_bytes(batch, "t", 2 << 20):
             raw, off = string_buffer(b.column(2))
             at, _, a, s = segments(raw, off)
             row = np.searchsorted(off, at, side="right") - 1
             k, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(as_signed(a)), pa.array(as_signed(s)), pa.array(k[row]), pa.array(n[row])], names=["a", "s", "k", "n"])
+            z = (np.arange(seen, seen + len(a)) % SALTS).astype(np.int8)
+            seen += len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(a)), pa.array(as_signed(s)), pa.array(k[row]), pa.array(n[row]), pa.array(z)], names=["a", "s", "k", "n", "z"])
 
 
 SAME, MIXED, HOT = 0, 1, 2
@@ -279,12 +283,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = 24_000) -> Da
     hot bounds what a task sorts at once: that many segments of about 300 bytes.
     """
     texts = keyed(docs, text)
-    req = texts.mapInArrow(_requests, "a bigint, s bigint, k bigint, n int")
-    each = settle(req.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("sender")), "segments")
-    met = each.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("m")).filter("m > 1").select("a", "d")
-    again = req.join(each.filter("c > 1").select("a", "s").hint("merge"), ["a", "s"]).select("k", "n", "s", F.lit(FLAGS[0]).alias("bits"))
-    sent = each.join(met.filter("d > 1").hint("merge"), "a").select("sender.k", "sender.n", "s", (F.lit(FLAGS[1]) + F.when(F.col("d") > hot, FLAGS[2]).otherwise(0)).alias("bits"))
-    flags = again.unionByName(sent).groupBy("k", "n").agg(F.collect_set(F.struct("s", "bits")).alias("flags"))
+    req = texts.mapInArrow(_requests, "a bigint, s bigint, k bigint, n int, z tinyint")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<tinyint>")).alias("z")
+    with scope(docs.sparkSession) as keep:
+        each = settle(req.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("sender")), "segments")
+        mixed = each.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("a", "d", every_salt)
+        again = req.join(each.filter("c > 1").select("a", "s", every_salt).hint("merge"), ["a", "s", "z"]).select("k", "n", "s", F.lit(FLAGS[0]).alias("bits"))
+        sent = each.withColumn("z", F.pmod(F.col("s"), F.lit(SALTS)).cast("tinyint")).join(mixed.hint("merge"), ["a", "z"])
+        sent = sent.select("sender.k", "sender.n", "s", (F.lit(FLAGS[1]) + F.when(F.col("d") > hot, FLAGS[2]).otherwise(0)).alias("bits"))
+        flags = keep(settle(again.unionByName(sent).groupBy("k", "n").agg(F.collect_set(F.struct("s", "bits")).alias("flags")), "flags"))
     found = settle(texts.join(flags.hint("merge"), ["k", "n"]).select("k", "n", "t", "flags").mapInArrow(_answers, FOUND), "found")
     known = found.filter(F.col("kind") == SAME).select("k", "n", "at", "size")
     mixed = found.filter(F.col("kind") == MIXED).select("a", "seg", "k", "n", "at").repartition("a").sortWithinPartitions("a").mapInArrow(_refine, "k bigint, n int, at int, size int")
