@@ -377,3 +377,28 @@ SWIFT_FLAG = Rule("flag", '((call_expression (navigation_expression suffix: (nav
 def test_swift_cleanup(code, want):
     u = run(code, RuleGraph([SWIFT_FLAG]).merged(built_in("swift")), substitutions={"flag": "F"}, language="swift")
     assert u.code.split() == want.split(), [e.rule for e in u.rewrites]
+
+
+def test_independent_edits_go_together():
+    """The same text, log and facts as one by one; one by one where edits may meet."""
+    code = "class A { void f() { é(); g(1); g(g(2)); g(3); k(4); } }"
+    rename = Rule("r", '((method_invocation name: (identifier) @n arguments: (argument_list (_) @a)) @x (#eq? @n "g"))', "n", replace="hh")
+    fact = Rule("k", '((method_invocation name: (identifier) @n) @c (#eq? @n "k"))', fact=(("name", "@n"),))
+    graph = RuleGraph([fact, rename])
+    together = run(code, graph)
+    graph.ends = lambda name: False
+    single = run(code, graph)
+    assert together.code == single.code == code.replace("g(", "hh(")
+    assert [(e.match.start, e.replacement) for e in together.rewrites] == [(e.match.start, e.replacement) for e in single.rewrites]
+    assert [(f.start, f.voided) for f in together.facts] == [(f.start, f.voided) for f in single.facts]
+    nested = Rule("r", '((parenthesized_expression (_) @in) @x)', "x", replace="@in")
+    assert run("class A { int x = ((1)) + (2); }", RuleGraph([nested])).code == "class A { int x = 1 + 2; }"
+
+
+def test_many_edits_in_one_file():
+    import time
+
+    code = "class A { void f() { " + " ".join(f"g({i});" for i in range(800)) + " } }"
+    began = time.perf_counter()
+    u = run(code, RuleGraph([Rule("r", '((method_invocation name: (identifier) @n) @x (#eq? @n "g"))', "n", replace="h")]))
+    assert len(u.rewrites) == 800 and time.perf_counter() - began < 3

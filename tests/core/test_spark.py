@@ -35,6 +35,19 @@ def test_byte_columns(spark):
         tx.Rgx("(?=a)")
 
 
+def test_regex_captures_in_context(spark):
+    """Groups are the same whether a match is looked at alone or where it stands."""
+    import re
+
+    text = "xa, ab é a,b aab ,a"
+    df = spark.createDataFrame([(text,)], "c string")
+    for pattern in (r"(?P<x>a+?)(?P<y>b?)", r"\b(?P<x>,)", r"(?P<x>[^a]|a)(?P<y>a)", r"\B(?P<x>a)", r"(?P<x>a)$"):
+        r = tx.Rgx(pattern)
+        got = df.select(r.captures(df.c).alias("m"), r.count(df.c).alias("n")).first()
+        want = [(m[0], *(m[t] or "" for t in r.tags)) for m in re.finditer(pattern, text)]
+        assert [tuple(x) for x in got.m] == want and got.n == len(want)
+
+
 def test_node_table_and_joins(spark):
     units = spark.createDataFrame([("1", "<nav><a>x</a></nav><p><a>y</a><a>z</a>"), ("2", None)], "path string, content string")
     n = trees.node_table(units, languages.language("html").parse, texts=True).withColumn("label", tx.F.col("kind")).cache()
@@ -49,6 +62,13 @@ def test_node_table_and_joins(spark):
     n.unpersist()
 
 
+def test_a_file_that_breaks_its_parser_fails_alone(spark):
+    deep = "class A { int x = " + "(" * 30_000 + "1" + ")" * 30_000 + "; }"
+    units = spark.createDataFrame([("/a/x.java", deep), ("/a/y.java", "class OldX { }")], "path string, content string")
+    got = {r.path: r for r in ex.execute(units, program("Global")).collect()}
+    assert got["/a/x.java"].error and got["/a/x.java"].content == deep and len(got["/a/y.java"].matches) == 1
+
+
 def program(scope):
     a = Rule("a", '((class_declaration name: (identifier) @c) @k (#match? @c "^Old"))')
     b = Rule("b", '((type_identifier) @t (#eq? @t "@c"))', "t", replace="New", holes=frozenset({"c"}), is_seed_rule=False)

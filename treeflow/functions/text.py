@@ -70,6 +70,8 @@ class Rgx:
         self.tags = dict(re.compile(pattern).groupindex)
         self.groups = re.compile(pattern).groups
         self.java = re.sub(r"\(\?P<\w+>", "(", pattern)
+        #: Whether a match may depend on what stands around it.
+        self.anchored = re.search(r"\\[bBAZzG]|(?<!\[)\^|\$", pattern) is not None
 
     def matches(self, code: Column) -> Column:
         """array of matched strings in source order."""
@@ -79,6 +81,13 @@ class Rgx:
         return F.regexp_extract(matched, f"^(?:{self.java})$", self.tags[tag])
 
     def captures(self, code: Column) -> Column:
-        """array<struct<matched, tag...>> in source order: each group is taken from the same scan of code."""
+        """array<struct<matched, tag...>> in source order: whole matches are found once and groups taken
+        from each, or, where a match depends on what stands around it, each group by a scan of its own."""
+        if not self.anchored:
+            return F.transform(self.matches(code), lambda m: F.struct(m.alias("matched"), *(self.capture(m, t).alias(t) for t in self.tags)))
         parts = [F.regexp_extract_all(code, F.lit(self.java), F.lit(i)).alias(n) for n, i in {"matched": 0, **self.tags}.items()]
         return F.arrays_zip(*parts)
+
+    def count(self, code: Column) -> Column:
+        """Number of matches; nothing is kept of them."""
+        return F.regexp_count(code, F.lit(self.java))

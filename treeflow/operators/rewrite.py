@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from dataclasses import field as factory
 
+import numpy as np
+
 from ..plans.graph import RuleGraph
 from ..plans.model import Filter, Instance, Options, ProgramError, Rule, dialect, instantiate
 from . import languages, templates, tree_query
@@ -69,6 +71,16 @@ class Unit:
 
     def parse(self) -> None:
         self.tree: Tree = self.language.parse(self.code)
+        self.byte_at: np.ndarray | None = None
+
+    def offset(self, char: int) -> int:
+        """The byte offset of a character."""
+        if self.code.isascii():
+            return char
+        if self.byte_at is None:
+            c = np.frombuffer(self.code.encode("utf-32-le"), np.uint32)
+            self.byte_at = np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
+        return int(self.byte_at[char])
 
     # matching
     def raw_matches(self, pattern: str, node: Node, recursive: bool = True, replace_node: str | None = None, replace_idx: int | None = None) -> list[Match]:
@@ -79,15 +91,13 @@ class Unit:
             for m in re.finditer(pattern[4:], self.code):
                 if m.start() == m.end():
                     continue
-                s = len(self.code[: m.start()].encode())
-                e = s + len(m[0].encode())
+                s, e = self.offset(m.start()), self.offset(m.end())
                 inside = node.start <= s and e <= node.end if recursive else (s, e) == (node.start, node.end)
                 if inside:
                     text = m[0]
                     if replace_node and replace_node in m.re.groupindex and m[replace_node] is not None:
-                        s = len(self.code[: m.start(replace_node)].encode())
+                        s, e = self.offset(m.start(replace_node)), self.offset(m.end(replace_node))
                         text = m[replace_node]
-                        e = s + len(text.encode())
                     out.append(Match(s, e, text, {k: v for k, v in m.groupdict().items() if v is not None}))
             return out
         if kind == "cs":
@@ -203,7 +213,9 @@ class Unit:
         self.parse()
         if self.tree.errors() > before:
             raise ProgramError(f"{self.path}: rule {inst.rule.name} leaves a syntax error: {replacement[:80]!r}")
-        delta = len(replacement.encode()) - (end - start)
+        self.move_facts(start, end, len(replacement.encode()) - (end - start))
+
+    def move_facts(self, start: int, end: int, delta: int) -> None:
         for f in self.facts:
             if not f.voided:
                 if f.start >= end:
@@ -237,11 +249,43 @@ class Unit:
                     self.bindings.update(m.captures)
                     self.propagate(r.name, m, None)
                 return
-            found = next(iter(self.rule_matches(inst, node)), None)
-            if found is None:
+            found = self.rule_matches(inst, node)
+            if not found:
                 return
-            replacement = instantiate(inst.replace, {**self.bindings, **found.captures})
-            self.edit(inst, found, replacement)
+            if len(found) > 1 and not r.filters and self.graph.ends(r.name) and self.edit_all(inst, found):
+                continue
+            self.edit(inst, found[0], instantiate(inst.replace, {**self.bindings, **found[0].captures}))
+
+    def edit_all(self, inst: Instance, found: list[Match]) -> bool:
+        """Applies the matches of one scan together, where that is the same as one by one; False where it may not be.
+
+        The rule looks at nothing but its own matches and tells no other rule, and the
+        matches stand apart, each before the last one, so no edit moves or changes another.
+        """
+        if any(b.end > a.start for a, b in zip(found, found[1:])):
+            return False
+        bindings, edits = dict(self.bindings), []
+        for m in found:
+            edits.append((m, instantiate(inst.replace, {**bindings, **m.captures})))
+            bindings.update(m.captures)
+        if any(not text.strip() for _, text in edits) or self.steps + len(edits) > self.options.max_iterations:
+            return False
+        before, code = self.tree.errors(), self.code
+        parts, at = [], len(self.tree.raw)
+        for m, text in edits:
+            parts += [self.tree.raw[m.end : at], text.encode()]
+            at = m.start
+        self.code = b"".join([self.tree.raw[:at], *reversed(parts)]).decode("utf-8", "replace")
+        self.parse()
+        if self.tree.errors() > before:
+            self.code = code
+            self.parse()
+            return False
+        self.bindings, self.steps = bindings, self.steps + len(edits)
+        for m, text in edits:
+            self.rewrites.append(Edit(inst.rule.name, m, text))
+            self.move_facts(m.start, m.end, len(text.encode()) - (m.end - m.start))
+        return True
 
     def edit(self, inst: Instance, m: Match, replacement: str) -> None:
         self.apply(inst, m, replacement)

@@ -21,7 +21,7 @@ from ..functions.text import Rgx
 from ..operators.rewrite import Edit, Fact, Match, Unit
 from ..sources import scan
 from .graph import RuleGraph
-from .materialise import keep
+from .materialise import discard, keep
 from .model import Instance, Options, ProgramError, Rule, dialect, instantiate
 
 ROWS_A_BATCH = 256  # units that wait in memory for one Arrow batch
@@ -75,8 +75,8 @@ def _evaluator(graph: RuleGraph, options: Options, active: list[Instance], tags:
                             "bindings": list(u.bindings.items()),
                             "outgoing": sorted({_message(i) for i in u.outgoing}),
                         }
-                    except ValueError as e:
-                        row |= {"error": str(e), "outgoing": []}
+                    except Exception as e:  # whatever a file does to its parser or rules is that file's error, not the job's
+                        row |= {"error": str(e) if isinstance(e, ValueError) else f"{row['path']}: {type(e).__name__}: {e}"[:500], "outgoing": []}
                 done.append(row)
                 if len(done) == ROWS_A_BATCH:
                     yield pa.RecordBatch.from_pylist(done, schema=out)
@@ -101,12 +101,17 @@ def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None,
     seen = {i.key() for i in active}
     tags: dict[str, str] = {}
     values = [v for i in active for _, v in i.bindings]
-    start = scan.grep(units.select("path", "content"), values)
+    units = scan.spread(units.select("path", "content"))
+    start = scan.grep(units, values)
     empty = {"matches": "array()", "rewrites": "array()", "facts": "array()", "bindings": "map()", "outgoing": "array()", "error": "null"}
     schema = units.sparkSession.createDataFrame([], SUMMARY).schema
     state = start.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(schema[k].dataType).alias(k) for k, v in empty.items()))
+    last = None
     for _ in range(max_rounds):
         state = keep(state.mapInArrow(_evaluator(graph, options, active, tags, schema), schema), "units")
+        if last is not None:
+            discard(last)
+        last = state
         new = []
         for r in state.select(F.explode("outgoing").alias("o")).distinct().orderBy("o").collect():
             name, bindings, directory, recursive = json.loads(r["o"])
@@ -122,7 +127,7 @@ def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None,
             break
         active += new
         # files that no earlier value occurs in may hold a new one
-        more = scan.grep(units.select("path", "content"), [v for i in active for _, v in i.bindings]).join(state.select("path"), "path", "left_anti")
+        more = scan.grep(units, [v for i in active for _, v in i.bindings]).join(state.select("path"), "path", "left_anti")
         state = state.unionByName(more.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(schema[k].dataType).alias(k) for k, v in empty.items())))
     else:
         raise ProgramError(f"no fixpoint after {max_rounds} rounds")
@@ -136,8 +141,8 @@ def regex_matches(units: DataFrame, rule: Rule, substitutions: dict[str, str]) -
         raise ProgramError("the declarative path takes match-only regex rules without filters")
     bound = {h: substitutions[h] for h in rule.holes}
     rgx = Rgx(instantiate(rule.query[4:], bound, pattern=True))
-    found = scan.grep(units, bound.values()).select("path", F.posexplode(rgx.captures(F.col("content"))).alias("ord", "c"))
-    return found.select("path", "ord", "c.*")
+    texts = scan.spread(scan.grep(units, bound.values()).select("path", "content"))
+    return texts.select("path", F.posexplode(rgx.captures(F.col("content"))).alias("ord", "c")).select("path", "ord", "c.*")
 
 
 def frequency(summary: DataFrame) -> DataFrame:
@@ -153,7 +158,12 @@ def to_json(summary: DataFrame) -> DataFrame:
 
 
 def persist(summary: DataFrame, options: Options) -> None:
-    """Writes changed files where they were read; nothing under dry_run; empties are deleted if so wanted."""
+    """Writes changed files where they were read; nothing under dry_run; empties are deleted if so wanted.
+
+    A file is replaced as a whole, so a task that is run again does no harm.  Executors
+    write through their mount of the code base: a path of another file system is an
+    error, and its changed files are to be taken from the summary.
+    """
     if options.dry_run:
         return
     delete = options.delete_file_if_empty
@@ -162,10 +172,15 @@ def persist(summary: DataFrame, options: Options) -> None:
         import os
 
         for r in rows:
+            path = r["path"]
+            if "://" in path:
+                raise ProgramError(f"{path}: files of this file system are not rewritten in place; write the summary's content instead")
             if delete and r["content"] == "":
-                os.remove(r["path"])
-            else:
-                with open(r["path"], "w", encoding="utf-8") as f:
-                    f.write(r["content"])
+                if os.path.exists(path):
+                    os.remove(path)
+                continue
+            with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
+                f.write(r["content"])
+            os.replace(f"{path}.tmp", path)
 
     summary.filter("error IS NULL AND content <> original_content").select("path", "content").foreachPartition(write)

@@ -62,6 +62,10 @@ class RuleGraph:
         follow(name, ())
         return out
 
+    def ends(self, name: str) -> bool:
+        """Whether no rule follows."""
+        return not self.out.get(name)
+
     def next_of(self, name: str, bindings: Mapping[str, str]) -> dict[str, list[Instance]]:
         return {s: [bind(self.rules[t], bindings) for t in ts] for s, ts in self.successors(name).items()}
 

@@ -21,4 +21,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back."""
     path = f"{shared_dir(df.sparkSession)}/treeflow-core/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a kept table that nothing reads any more, through the file system that holds it."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

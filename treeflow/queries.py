@@ -92,8 +92,8 @@ def rgx_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rule, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'mail' AS rule, len(regexp_extract_all(text, '{MAIL_RE2}')) AS n FROM documents UNION ALL SELECT 'number', len(regexp_extract_all(text, '[0-9]+')) FROM documents) GROUP BY rule")
 def match_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    counts = [F.size(tx.Rgx(p).matches(F.col("content"))).cast("long").alias(r) for r, p in (("mail", MAIL), ("number", "[0-9]+"))]
+    d = scan.spread(documents(spark, sf_dir).select("content"))
+    counts = [tx.Rgx(p).count(F.col("content")).cast("long").alias(r) for r, p in (("mail", MAIL), ("number", "[0-9]+"))]
     return d.select(*counts).agg(F.sum("mail").alias("mail"), F.sum("number").alias("number")).unpivot([], ["mail", "number"], "rule", "n")
 
 

@@ -54,6 +54,17 @@ def grep(units: DataFrame, values: Iterable[str], escape: bool = False) -> DataF
     return units if pattern is None else units.filter(F.col("content").rlike(pattern))
 
 
+def spread(units: DataFrame) -> DataFrame:
+    """Units dealt over all cores where they come from fewer files than there are cores.
+
+    A small file is one task whatever is done to its rows, and parsing costs far more
+    than moving them.  Tables of many files are left as they are, so nothing is
+    shuffled there.
+    """
+    cores = units.sparkSession.sparkContext.defaultParallelism
+    return units.repartition(cores) if len(units.inputFiles()) < cores else units
+
+
 def codebase(spark: SparkSession, paths: list[str], extension: str, include: Iterable[str] = (), exclude: Iterable[str] = (), files: Iterable[str] = ()) -> DataFrame:
     """path, content of every file under paths with the extension, and of files, which globs do not apply to."""
     parts = []
