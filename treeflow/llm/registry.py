@@ -16,4 +16,4 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE}

@@ -346,6 +346,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 24_000, colum
     return joined.mapInArrow(run, schema)
 
 
+#: The result of op1_suffix_dedup over all windows, for DuckDB.
+ORACLE = """
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT id, b, unnest(range(0, octet_length(b) - 199)) AS p FROM docs WHERE octet_length(b) >= 200),
+windows AS (SELECT id, p, md5(hex(b[p + 1 : p + 200])) AS h FROM places),
+hits AS (SELECT id, p FROM (SELECT id, p, count(*) OVER (PARTITION BY h) AS c FROM windows) WHERE c > 1),
+runs AS (SELECT id, p, sum(fresh) OVER (PARTITION BY id ORDER BY p) AS g FROM (SELECT id, p, CASE WHEN p > lag(p) OVER (PARTITION BY id ORDER BY p) + 200 THEN 1 ELSE 0 END AS fresh FROM hits)),
+spans AS (SELECT id, min(p) AS s, max(p) + 200 AS e FROM runs GROUP BY id, g),
+pieces AS (SELECT id, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0) AS x, s AS y FROM spans UNION ALL SELECT id, max(e), max(octet_length(b)) FROM spans JOIN docs USING (id) GROUP BY id),
+kept AS (SELECT id, string_agg(hex(b[x + 1 : y]), '' ORDER BY x) AS k FROM pieces JOIN docs USING (id) WHERE y > x GROUP BY id),
+total AS (SELECT id, sum(e - s) AS r, count(*) AS n FROM spans GROUP BY id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(k, '')) END) AS kept_sha256
+FROM docs LEFT JOIN total USING (id) LEFT JOIN kept USING (id)
+"""
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), "text", columns=["doc_id"])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
