@@ -25,6 +25,40 @@ def test_repeat_words_brute_force():
         assert quality.repeat_words(words) == len(want)
 
 
+def test_base_counts_brute_force():
+    """Words, characters, symbols and repeated lines by their definitions, character by character."""
+    import re
+
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice("ab é🙂\u00a0\x0b\t\n\n #*$%&|<>.") for _ in range(rng.randrange(0, 80)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, again = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                again += line in seen
+                seen.add(line)
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), again)
+        assert quality.base_counts(t)[:4] == want, t
+
+
+def test_bands_by_definition():
+    import zstandard
+
+    opt = quality.Compression()
+    zip_ = zstandard.ZstdCompressor(level=opt.level, write_content_size=False)
+    rng = random.Random(9)
+    for n in (0, 63, 64, 300, 4096, 4097, 20_000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz    ", "x"):
+            t = "".join(rng.choice(letters) for _ in range(n))
+            *_, failed, _, chunks, bad, kept = quality.judge(t, zip_, opt)
+            within = lambda d: next((lo * len(zip_.compress(d)) <= len(d) <= hi * len(zip_.compress(d)) for start, lo, hi in reversed(quality.BANDS) if len(d) >= start), True)
+            data = t.encode()
+            parts = [data[i : i + 4096] for i in range(0, n, 4096)] if n > 4096 else []
+            assert chunks == len(parts) and bad == sum(not within(c) for c in parts)
+            assert kept == (not failed and within(data) and bad <= 0.5 * len(parts))
+
+
 def test_quality_edges(spark):
     rows = {r.doc_id: r for r in quality.annotate(docs_of(spark, EDGES)).collect()}
     assert len(rows) == len(EDGES)
