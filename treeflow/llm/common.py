@@ -88,6 +88,12 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def apart(grouped: DataFrame, key: str) -> DataFrame:
+    """One row a key, to be merged with rows of hot keys: dealt by another hash first, so that the join shuffles it
+    by itself and adaptive execution may split the other side's hot partitions (it can't beside an aggregation)."""
+    return grouped.repartition(F.xxhash64(key)).hint("merge")
+
+
 def groups_for(df: DataFrame, column: str, group_bytes: int) -> int:
     """How many groups of about group_bytes the text column fills."""
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_signed, batches_by_bytes, mix, scope, settle, string_buffer, table, word_shingles
+from .common import apart, as_signed, batches_by_bytes, mix, scope, settle, string_buffer, table, word_shingles
 from .graph import components
 
 WORDS = 5
@@ -164,23 +164,23 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def _star(rows: DataFrame) -> DataFrame:
     """Candidates u, v: members u of bucket b against its leader v (rows: b, u; leaders have most bucket mates)."""
-    sized = settle(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").hint("merge"), "b"), "buckets")
+    sized = settle(rows.join(apart(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "b"), "b"), "buckets")
     score = sized.groupBy("u").agg(F.sum("c").alias("s"))
     scored = sized.select("b", "u").join(score.hint("merge"), "u")
     leader = scored.groupBy("b").agg(F.max(F.struct("s", "u")).alias("v"))
-    return scored.select("b", "u").join(leader.select("b", F.col("v.u").alias("v")).hint("merge"), "b").filter("u <> v").select("u", "v").distinct()
+    return scored.select("b", "u").join(apart(leader.select("b", F.col("v.u").alias("v")), "b"), "b").filter("u <> v").select("u", "v").distinct()
 
 
 def _between(rows: DataFrame, tested: DataFrame) -> DataFrame:
     """Untested candidates of buckets with several components (rows: b, u, c): each member against the leaders of the two foremost other components."""
     several = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("s")).filter("lo <> hi").select("b", "s")
-    left = settle(rows.join(several.hint("merge"), "b"), "buckets")
+    left = settle(rows.join(apart(several, "b"), "b"), "buckets")
     score = left.groupBy("u").agg(F.sum("s").alias("s"))
     left = settle(left.drop("s").join(score.hint("merge"), "u"), "scored")
     one = left.groupBy("b").agg(F.max(F.struct("s", "u", "c")).alias("x"))
-    left = left.join(one.hint("merge"), "b")
+    left = settle(left.join(apart(one, "b"), "b"), "foremost")
     two = left.filter("c <> x.c").groupBy("b").agg(F.max(F.struct("s", "u", "c")).alias("y"))
-    left = left.join(two.hint("merge"), "b")
+    left = left.join(apart(two, "b"), "b")
     pairs = left.filter("c <> x.c").select("u", F.col("x.u").alias("v")).unionByName(left.filter("c <> y.c").select("u", F.col("y.u").alias("v")))
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().hint("merge"), ["u", "v"], "left_anti")
@@ -264,7 +264,7 @@ def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame
     node = sk.schema["u"].dataType.simpleString()
     rows = sk.join(classes.hint("merge"), "u", "left").select("u", F.coalesce("c", "u").alias("c"), "n", F.posexplode("sk").alias("k", "b"))
     mixed = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("s")).filter("lo <> hi").select("b", "s")
-    rows = settle(rows.join(mixed.hint("merge"), "b"), "mixed")
+    rows = settle(rows.join(apart(mixed, "b"), "b"), "mixed")
     members = rows.filter(F.col("s") <= FEW).groupBy("b").agg(F.collect_list(F.struct("u", "c", "n")).alias("m"))
     long_enough = lambda x, y: F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * (threshold - 1e-9)
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["u"] > x["u"]) & (y["c"] != x["c"]) & long_enough(x, y)), lambda y: F.struct(x["u"].alias("u"), y["u"].alias("v")))))
@@ -277,7 +277,7 @@ def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame
     plan = foremost.select("b", F.col("x.c").alias("most"), blocks(F.col("m") - F.col("x.m"), F.col("w") - F.col("x.w")).alias("rest"), blocks(F.col("x.m"), F.col("x.w")).alias("main"))
     at = F.when(F.col("c") == F.col("most"), F.col("rest") + F.pmod(F.xxhash64("u"), F.col("main"))).otherwise(F.pmod(F.xxhash64("u"), F.col("rest"))).cast("int")
     meets = F.when(F.col("own") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("main") - 1))
-    dealt = large.join(plan.hint("merge"), "b").withColumn("own", at).select("b", "k", "u", "c", "own", F.explode(meets).alias("o"))
+    dealt = large.join(apart(plan, "b"), "b").withColumn("own", at).select("b", "k", "u", "c", "own", F.explode(meets).alias("o"))
     dealt = dealt.select("b", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "k", "u", "c", "own")
     dealt = dealt.join(sk.select("u", "sk").join(texts.hint("merge"), "u").hint("merge"), "u")
     return settle(links.unionByName(dealt.groupBy("b", "x", "y").applyInArrow(_block_links(threshold), f"u {node}, v {node}")), "links")
@@ -316,7 +316,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_: str = "doc_id", **opt
     own = rows.groupBy("u").agg(F.min("doc_id").alias("first"))
     own = own.join(classes.hint("merge"), "u", "left").select("u", "first", F.coalesce("c", "u").alias("c"))
     least = own.groupBy("c").agg(F.min(F.struct(F.col("first").isNull().alias("no"), F.col("first").alias("class_id"), F.col("u").alias("rep"))).alias("x"))
-    named = own.select("u", "c").join(least.hint("merge"), "c").select("u", "x.class_id", "x.rep")
+    named = own.select("u", "c").join(apart(least, "c"), "c").select("u", "x.class_id", "x.rep")
     return rows.join(named.hint("merge"), "u").select("doc_id", "class_id", "u", "rep")
 
 
