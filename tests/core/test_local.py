@@ -45,6 +45,23 @@ def test_java_parses_without_errors():
         assert all(a.end <= b.start for a, b in zip(n.children, n.children[1:], strict=False))
 
 
+@pytest.mark.parametrize(
+    "code, kind, text",
+    [
+        ("int x = a >>> 2 >> 1;", "binary_expression", "a >>> 2"),
+        ("boolean x = o instanceof String s && s.isEmpty();", "instanceof_expression", "o instanceof String s"),
+        ("int[][] x = new int[3][];", "dimensions", "[]"),
+        ("Object x = (A & B) y;", "cast_expression", "(A & B) y"),
+        ("void f() { try (var x = y(); z) { g(); } }", "resource", "z"),
+        ("sealed interface S permits A, B {}", "permits", "permits A, B"),
+        ("non-sealed class A implements S {}", "modifiers", "non-sealed"),
+    ],
+)
+def test_java_later_syntax(code, kind, text):
+    t = parse_java("class T { " + code + " }")
+    assert t.errors() == 0 and text in names(t, kind)
+
+
 def test_java_error_recovery():
     t = parse_java("class A { int x = ; void f() { a(; } int y; }")
     assert t.errors() >= 1 and "y" in names(t, "identifier")

@@ -204,13 +204,18 @@ class JavaParser:
             if self.peek() == ">" and level == 7:
                 a = self.leaf()
                 b = self.leaf()
-                op = Node(">>", a.start, b.end, False)
+                c = self.leaf() if self.peek() == ">" and self.toks[self.i][2] == b.end else None
+                op = Node(">>>" if c else ">>", a.start, (c or b).end, False)
             else:
                 op = self.leaf()
             op.field = "operator"
             if op.kind == "instanceof":
                 op.field = None
-                left = self.make("instanceof_expression", [left, op, self.type_("right")])
+                final = self.leaf() if self.peek() == "final" else None
+                kids = [left, op, final, self.type_("right")]
+                if self.kind() == "id" and self.peek() not in RESERVED:
+                    kids.append(self.identifier("identifier", "name"))
+                left = self.make("instanceof_expression", kids)
             else:
                 right = self.binary(level + 1)
                 right.field = "right"
@@ -233,7 +238,10 @@ class JavaParser:
         return self.postfix(self.primary())
 
     def cast(self) -> Node:
-        kids = [self.want("("), self.type_(), self.want(")")]
+        kids = [self.want("("), self.type_()]
+        while self.peek() == "&":
+            kids += [self.leaf(), self.type_()]
+        kids.append(self.want(")"))
         if kids[1].kind not in ("integral_type", "floating_point_type", "boolean_type") and not (self.kind() in ("id", "num", "text", "char") or self.peek() in ("(", "!", "~")) or self.peek() == "instanceof":
             raise _Fail
         lam = self.attempt(self.lambda_)
@@ -276,10 +284,15 @@ class JavaParser:
             return self.make("object_creation_expression", kids)
         if kids[1].kind == "array_type" and self.peek() == "{":
             return self.make("array_creation_expression", [*kids, self.initializer("value")])
-        while self.peek() == "[":
+        while self.peek() == "[" and self.peek(1) != "]":
             kids.append(self.make("dimensions_expr", [self.leaf(), self.expression(), self.want("]")], "dimensions"))
         if len(kids) == 2 and self.peek() != "<":
             raise _Fail
+        dims = []
+        while self.peek() == "[" and self.peek(1) == "]":
+            dims += [self.leaf(), self.leaf()]
+        if dims:
+            kids.append(self.make("dimensions", dims, "dimensions"))
         if self.peek() == "<" and self.peek(1) == ">":
             kids[1] = self.make("generic_type", [kids[1], self.make("type_arguments", [self.leaf(), self.leaf()])], "type")
             kids.append(self.arguments())
@@ -470,6 +483,9 @@ class JavaParser:
     def s_synchronized(self) -> Node:
         return self.make("synchronized_statement", [self.leaf(), self.parenthesized(), self.block("body")])
 
+    def resource(self) -> Node:
+        return self.make("resource", [self.modifiers(), self.type_(), self.identifier("identifier", "name"), self.want("="), self.expression("value")])
+
     def s_try(self) -> Node:
         kids: list[Node | None] = [self.leaf()]
         kind = "try_statement"
@@ -477,7 +493,8 @@ class JavaParser:
             kind = "try_with_resources_statement"
             r = [self.leaf()]
             while self.peek() != ")":
-                r.append(self.make("resource", [self.modifiers(), self.type_(), self.identifier("identifier", "name"), self.want("="), self.expression("value")]))
+                declared = self.attempt(self.resource)
+                r.append(declared if declared is not None else self.make("resource", [self.expression()]))
                 if self.peek() == ";":
                     r.append(self.leaf())
             r.append(self.leaf())
@@ -534,6 +551,9 @@ class JavaParser:
                     kids.append(self.make("annotation", a))
                 else:
                     kids.append(self.make("marker_annotation", a))
+            elif (self.peek(), self.peek(1), self.peek(2)) == ("non", "-", "sealed"):
+                a, _, b = self.leaf(), self.leaf(), self.leaf()
+                kids.append(Node("non-sealed", a.start, b.end, False))
             elif self.peek() in MODIFIERS and self.peek(1) not in ("->", ":", "("):
                 kids.append(self.leaf())
             else:
@@ -619,6 +639,8 @@ class JavaParser:
                 kids.append(self.make("superclass", [k, self.type_(None)], "superclass") if t == "class" else self.make("extends_interfaces", [k, *self.type_list()]))
             if self.peek() == "implements":
                 kids.append(self.make("super_interfaces", [self.leaf(), *self.type_list()], "interfaces"))
+            if self.peek() == "permits":
+                kids.append(self.make("permits", [self.leaf(), *self.type_list()], "permits"))
             if t == "enum":
                 return self.make("enum_declaration", [*kids, self.enum_body()])
             kind = "annotation_type" if at else t
