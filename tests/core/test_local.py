@@ -62,6 +62,26 @@ def test_java_later_syntax(code, kind, text):
     assert t.errors() == 0 and text in names(t, kind)
 
 
+@pytest.mark.parametrize(
+    "name, code, kind",
+    [
+        ("go", "package p\ntype T[K comparable, V ~[]int] struct {\n a K\n}\n", "type_parameter_list"),
+        ("go", "package p\ntype A [n]int\n", "array_type"),
+        ("go", "package p\nfunc f() {\nL:\n for {\n  goto L\n }\n}\n", "labeled_statement"),
+        ("kt", "fun <T> T.g() where T : Any { x() }\n", "type_constraints"),
+        ("kt", "class A<T> where T : Any, T : B { }\n", "type_constraints"),
+        ("swift", "@available(iOS 13, *)\nfunc f() { if #available(iOS 13.1, *) { x() } }\n", "availability_condition"),
+        ("swift", 'class A { @available(*, deprecated, message: "m") var b = 1 }\n', "attribute"),
+    ],
+)
+def test_later_syntax(name, code, kind):
+    from treeflow.operators.languages import language
+
+    t = language(name).parse(code)
+    assert t.errors() == 0 and kind in {n.kind for n in t.root.walk()}
+    language(name).parse(code[: len(code) // 2])
+
+
 def test_java_error_recovery():
     t = parse_java("class A { int x = ; void f() { a(; } int y; }")
     assert t.errors() >= 1 and "y" in names(t, "identifier")

@@ -342,7 +342,9 @@ class GoParser(JavaParser):
             raise _Fail
         x = left.children[0]
         x.field = None
-        return x if x.kind != "identifier" or self.peek() != ":" else self.make("labeled_statement", [x, self.leaf()])
+        if x.kind != "identifier" or self.peek() != ":":
+            return x
+        return self.make("labeled_statement", [x, self.leaf(), None if self.peek() in ("}", "\n", ";") else self.statement_()])
 
     def statement_(self) -> Node:
         t = self.peek()
@@ -351,7 +353,7 @@ class GoParser(JavaParser):
         if t in ("var", "const"):
             return self.declaration()
         if t == "type":
-            return self.make("type_declaration", [self.leaf(), self.make("type_spec", [self.identifier("type_identifier", "name"), self.leaf() if self.peek() == "=" else None, self.type_()])])
+            return self.make("type_declaration", [self.leaf(), self.make("type_spec", [self.identifier("type_identifier", "name"), self.type_parameters_() if self.generic() else None, self.leaf() if self.peek() == "=" else None, self.type_()])])
         if t == "return":
             r = self.leaf()
             return self.make("return_statement", [r, None if self.peek() in ("\n", ";", "}") else self.expressions("result")])
@@ -515,9 +517,15 @@ class GoParser(JavaParser):
         self.end()
         return n
 
+    def generic(self) -> bool:
+        """A list of type parameters follows, not the length of an array."""
+        return self.peek() == "[" and self.kind(1) == "id" and (self.kind(2) == "id" or self.peek(2) in (",", "~"))
+
     def type_parameters_(self) -> Node:
         kids = [self.leaf()]
-        while self.peek() != "]":
+        depth = 0
+        while self.peek() != "]" or depth:
+            depth += {"[": 1, "]": -1}.get(self.peek(), 0)
             kids.append(self.leaf("identifier" if self.kind() == "id" else None))
         return self.make("type_parameter_list", [*kids, self.leaf()], "type_parameters")
 

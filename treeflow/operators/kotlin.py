@@ -464,6 +464,8 @@ class KotlinParser(JavaParser):
             kids.append(self.make("primary_constructor", ctor))
         if self.peek() == ":":
             kids += [self.leaf(), *self.supertypes()]
+        if self.peek() == "where":
+            kids.append(self.constraints())
         if self.peek() == "{":
             kids.append(self.enum_body_() if enum else self.class_body_())
         return self.make("class_declaration", kids)
@@ -539,10 +541,20 @@ class KotlinParser(JavaParser):
         kids += [self.identifier(), self.value_parameters()]
         if self.peek() == ":":
             kids += [self.leaf(), self.type_()]
+        if self.peek() == "where":
+            kids.append(self.constraints())
         if self.peek() in ("{", "="):
             kids.append(self.function_body())
         return self.make("function_declaration", kids)
 
+    def constraints(self) -> Node:
+        kids = [self.leaf()]
+        while True:
+            kids.append(self.make("type_constraint", [self.identifier("type_identifier"), self.want(":"), self.type_()]))
+            if self.peek() != ",":
+                return self.make("type_constraints", kids)
+            kids.append(self.leaf())
+
     def receiver(self) -> list[Node]:
         t = self.identifier("type_identifier")
         kids = [t, self.type_arguments()] if self.peek() == "<" else [t]

@@ -153,6 +153,8 @@ class SwiftParser(KotlinParser):
             return self.leaf("nil")
         if t in ("self", "super"):
             return self.leaf(f"{t}_expression")
+        if t in ("#available", "#unavailable") and self.peek(1) == "(":
+            return self.make("availability_condition", [self.leaf(), *self.availability()])
         if t.startswith("#"):
             return self.leaf("special_literal")
         if t == "(":
@@ -371,12 +373,23 @@ class SwiftParser(KotlinParser):
         return self.make("switch_statement", [*kids, self.leaf()])
 
     # declarations
+    def availability(self) -> list[Node]:
+        """Platforms with versions, and messages, in brackets."""
+        kids = [self.want("(")]
+        while self.peek() != ")":
+            if self.kind() not in ("id", "num", "text") and self.peek() not in ("*", ",", ":", "."):
+                raise _Fail
+            kids.append(self.leaf({"id": "simple_identifier", "num": "integer_literal", "text": "line_string_literal"}.get(self.kind())))
+        return [*kids, self.leaf()]
+
     def modifiers(self) -> Node | None:
         kids = []
         while True:
             if self.peek() == "@" and self.kind(1) == "id" and self.peek(1) != "unknown":
                 a = [self.leaf(), self.type_()]
-                if self.peek() == "(" and self.glued():
+                if self.peek() == "(" and self.text_of(a[1]) == "available":
+                    a += self.availability()
+                elif self.peek() == "(" and self.glued():
                     a.append(self.value_arguments())
                 kids.append(self.make("attribute", a))
             elif self.peek() in MODIFIERS and self.kind(1) in ("id", "op") and self.peek(1) not in (".", "=", ":", ",", ")", "?."):
