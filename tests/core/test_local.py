@@ -55,6 +55,9 @@ def test_java_parses_without_errors():
         ("void f() { try (var x = y(); z) { g(); } }", "resource", "z"),
         ("sealed interface S permits A, B {}", "permits", "permits A, B"),
         ("non-sealed class A implements S {}", "modifiers", "non-sealed"),
+        ("record P<T>(int x, T y) implements S { P { f(); } int g() { return x; } }", "compact_constructor_declaration", "P { f(); }"),
+        ("public record P(int x) {}", "record_declaration", "public record P(int x) {}"),
+        ("void f() { record P(int x) {} g(new P(1)); }", "record_declaration", "record P(int x) {}"),
     ],
 )
 def test_java_later_syntax(code, kind, text):

@@ -393,7 +393,7 @@ class JavaParser:
             return self.leaf()
         if self.kind() == "id" and self.peek(1) == ":" and t not in RESERVED:
             return self.make("labeled_statement", [self.identifier(), self.leaf(), self.statement()])
-        if t in ("class", "interface", "enum") or t in ("abstract", "static") or t == "final" and self.peek(1) == "class":
+        if t in ("class", "interface", "enum") or t in ("abstract", "static") or t == "final" and self.peek(1) == "class" or self.record():
             return self.member()
         local = self.attempt(self.local)
         if local is not None:
@@ -622,6 +622,10 @@ class JavaParser:
         kids.append(self.want(">"))
         return self.make("type_parameters", kids, "type_parameters")
 
+    def record(self) -> bool:
+        """A record follows; since records exist no type has this name."""
+        return self.peek() == "record" and self.kind(1) == "id" and self.peek(2) in ("(", "<")
+
     def member(self) -> Node:
         if self.peek() == ";":
             return self.leaf()
@@ -645,6 +649,13 @@ class JavaParser:
                 return self.make("enum_declaration", [*kids, self.enum_body()])
             kind = "annotation_type" if at else t
             return self.make(f"{kind}_declaration", [*kids, self.class_body(f"{kind}_body")])
+        if self.record():
+            kids = [mods, self.leaf(), self.identifier("identifier", "name"), self.type_parameters(), self.parameters()]
+            if self.peek() == "implements":
+                kids.append(self.make("super_interfaces", [self.leaf(), *self.type_list()], "interfaces"))
+            return self.make("record_declaration", [*kids, self.class_body("class_body")])
+        if self.kind() == "id" and self.peek(1) == "{" and t not in RESERVED:
+            return self.make("compact_constructor_declaration", [mods, self.identifier("identifier", "name"), self.block("body")])
         params = self.type_parameters()
         if self.kind() == "id" and self.peek(1) == "(" and t not in RESERVED:
             kids = [mods, params, self.identifier("identifier", "name"), self.parameters(), self.throws()]
