@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_decontamination": "doc_id item_id",
     "op9_near_dedup": "doc_id class_id",
     "op10_quality_rules": "doc_id n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op11_fill_in_middle": "doc_id n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
+    "op12_piece_bpe": "doc_id n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    "op13_importance_resampling": "doc_id n_features:bigint weight:bigint score:bigint rank:bigint",
 }
 TABLE = {"op3_html_extraction": "pages", "op4_chat_formatting": "conversations", "op6_url_filter": "pages"}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_crf, lm, near_dedup, quality, suffix_dedup, toxicity, urls
+from . import bpe, chat, decontaminate, fim, html_crf, lm, near_dedup, piece_bpe, quality, resample, suffix_dedup, toxicity, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_piece_bpe": piece_bpe.op12_piece_bpe,
+    "op13_importance_resampling": resample.op13_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_importance_resampling": resample.ORACLE}
