@@ -7,9 +7,10 @@ character offsets, by which substring takes prefix, middle and suffix.
 
 Texts are exploded by chunks of ``chunk`` characters, so no array holds a long text's
 units; a run of letters that a chunk border cuts is one unit still, as its second half
-adds to the sums but not to the number.  Rows get a number of their own, which the
-shuffles are dealt by: neither equal texts nor equal or null ids meet.  Texts are
-shuffled once; units, cuts and offsets stay in the partition of their text.
+adds to the sums but not to the number.  Rows are told apart by file and place in it, which the shuffles are
+dealt by: neither equal texts nor equal or null ids meet, and a task that runs again
+finds the same rows.  Texts that aren't just read from files are written first.  Texts
+are shuffled once; units, cuts and offsets stay in the partition of their text.
 
 Defined results: a null or empty text is plain; a null id draws as the empty string;
 repeated rows are rows of their own with equal results; only the id and text columns
@@ -39,11 +40,21 @@ class Plan:
     partition_bytes: int = 8 << 20
 
 
-def requests(docs: DataFrame, key: str, text: str, plan: Plan) -> DataFrame:
-    """key, text, row, n, form and the unit numbers after which the middle begins and ends."""
+ROW = ["row", "file"]
+
+
+def placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text and the place of every row: its number in its file and the file's hash."""
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty() or not docs.inputFiles():
+        docs = settle(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), "fim")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    digest = F.sha2(F.concat(F.lit(f"{plan.seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).cast("binary"), 256)
-    drawn = docs.select(F.col(f"`{key}`").alias("key"), body.alias("text"), F.monotonically_increasing_id().alias("row"), digest.alias("digest"))
+    return docs.select(F.col(f"`{key}`").alias("key"), body.alias("text"), F.col("_metadata.row_index").alias("row"), F.xxhash64("_metadata.file_path").alias("file"))
+
+
+def requests(rows: DataFrame, plan: Plan) -> DataFrame:
+    """key, place, n, form and the unit numbers after which the middle begins and ends."""
+    digest = F.sha2(F.concat(F.lit(f"{plan.seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary"), 256)
+    drawn = rows.withColumn("digest", digest)
     # every run of letters is one unit, every other character one
     drawn = drawn.withColumn("n", F.char_length(F.regexp_replace("text", "[A-Za-z]+", "a")).cast("long"))
     h1, h2, h3, h4 = (F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("long") for k in range(4))
@@ -53,38 +64,40 @@ def requests(docs: DataFrame, key: str, text: str, plan: Plan) -> DataFrame:
         taken |= F.contains("text", F.lit(mark))
     plain = (F.col("n") == 0) | taken | (h3 % 100 >= plan.fim_percent)
     form = F.when(plain, "plain").when(h4 % 100 < plan.spm_percent, "spm").otherwise("psm")
-    return drawn.select("key", "text", "row", "n", form.alias("form"), F.least(a, b).alias("begin"), F.greatest(a, b).alias("end"))
+    return drawn.select("key", *ROW, "n", form.alias("form"), F.least(a, b).alias("begin"), F.greatest(a, b).alias("end"))
 
 
 def units(texts: DataFrame, chunk: int) -> DataFrame:
-    """row, unit (1, 2, ...), stop: the characters up to the end of a unit, or of its half before a chunk's border."""
+    """place, unit (1, 2, ...), stop: the characters up to the end of a unit, or of its half before a chunk's border."""
     starts = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(chunk))
     # a chunk is read with the character before it, which says whether its first letters go on
-    pieces = texts.select("row", "text", F.explode(starts).alias("at"))
-    pieces = pieces.select("row", "at", F.substring("text", F.col("at"), chunk).alias("piece"), ((F.col("at") > 1) & F.substring("text", F.col("at") - 1, 2).rlike("^[A-Za-z]{2}$")).alias("goes_on"))
+    pieces = texts.select(*ROW, "text", F.explode(starts).alias("at"))
+    pieces = pieces.select(*ROW, "at", F.substring("text", F.col("at"), chunk).alias("piece"), ((F.col("at") > 1) & F.substring("text", F.col("at") - 1, 2).rlike("^[A-Za-z]{2}$")).alias("goes_on"))
     sizes = F.transform(F.regexp_extract_all("piece", F.lit(UNIT), F.lit(0)), F.char_length)
-    rows = pieces.select("row", "at", "goes_on", F.posexplode(sizes).alias("pos", "size"))
-    along = W.partitionBy("row").orderBy("at", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = pieces.select(*ROW, "at", "goes_on", F.posexplode(sizes).alias("pos", "size"))
+    along = W.partitionBy(*ROW).orderBy("at", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     new = F.when((F.col("pos") == 0) & F.col("goes_on"), 0).otherwise(1)
-    return rows.select("row", F.sum(new).over(along).alias("unit"), F.sum("size").over(along).alias("stop"))
+    return rows.select(*ROW, F.sum(new).over(along).alias("unit"), F.sum("size").over(along).alias("stop"))
 
 
 def offsets(texts: DataFrame, wanted: DataFrame, chunk: int) -> DataFrame:
-    """row, begin_at, end_at: the characters before the middle and before the suffix."""
-    cuts = wanted.filter("form <> 'plain'").select("row", F.posexplode(F.array("begin", "end")).alias("cut", "cut_unit"))
+    """place, begin_at, end_at: the characters before the middle and before the suffix."""
+    cuts = wanted.filter("form <> 'plain'").select(*ROW, F.posexplode(F.array("begin", "end")).alias("cut", "cut_unit"))
     # the unit numbers meet inside the join on the row, by which both sides lie already
-    at = units(texts, chunk).join(cuts, ["row"]).filter(F.col("unit").between(F.col("cut_unit"), F.col("cut_unit")))
+    at = units(texts, chunk).join(cuts, ROW).filter(F.col("unit").between(F.col("cut_unit"), F.col("cut_unit")))
     where = [F.max(F.when(F.col("cut") == k, F.col("stop"))).alias(c) for k, c in enumerate(("begin_at", "end_at"))]
-    return at.groupBy("row").agg(*where)
+    return at.groupBy(*ROW).agg(*where)
 
 
 def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """key, n, form, prefix_chars, middle_chars, output of every row."""
     plan = plan or Plan()
-    base = settle(requests(docs, key, text, plan), "fim")
-    texts = base.filter("row IS NOT NULL").select("row", "text").repartition(groups_for(base, "text", plan.partition_bytes), "row")
-    found = offsets(texts, base, plan.chunk)
-    out = texts.join(found, "row", "left").join(base.drop("text", "begin", "end"), "row")
+    rows = placed(docs, key, text)
+    wanted = settle(requests(rows, plan), "cuts")
+    here = " AND ".join(f"{c} IS NOT NULL" for c in ROW)  # said for both readers of the one shuffle
+    texts = rows.select(*ROW, "text").filter(here).repartition(groups_for(rows, "text", plan.partition_bytes), *ROW)
+    found = offsets(texts, wanted, plan.chunk)
+    out = texts.join(found, ROW, "left").join(wanted.drop("begin", "end"), ROW)
     made = F.col("form") != "plain"
     begin, end = (F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("begin_at", "end_at"))  # no unit before the cut
     prefix, middle, suffix = F.substring("text", F.lit(1), begin), F.substring("text", begin + 1, end - begin), F.substring("text", end + 1, F.char_length("text"))
