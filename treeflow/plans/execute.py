@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import Rgx
 from ..operators.rewrite import Edit, Fact, Match, Unit
 from ..sources import scan
+from . import tree_plan
 from .graph import RuleGraph
 from .materialise import discard, keep
 from .model import Instance, Options, ProgramError, Rule, dialect, instantiate
@@ -87,12 +88,16 @@ def _evaluator(graph: RuleGraph, options: Options, active: list[Instance], tags:
     return run
 
 
-def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None, max_rounds: int = 50) -> DataFrame:
+def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None, max_rounds: int = 50, path: str = "auto") -> DataFrame:
     """Summaries (SUMMARY without bindings and outgoing) of the units that matched, changed, hold facts or failed.
 
     units has path and content.  A unit that fails keeps its text and says why in error.
+    Programs that only look run as DataFrame plans over a node table (``tree_plan``),
+    others as a loop for each file; path "plan" or "loop" asks for one of them.
     """
     options = options or Options()
+    if path not in ("auto", "plan", "loop"):
+        raise ProgramError(f"no path of execution is named {path}")
     if options.should_validate and (found := graph.warnings(options.substitutions)):
         raise ProgramError("; ".join(found))
     active = graph.seeds(options.substitutions)
@@ -103,8 +108,14 @@ def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None,
     values = [v for i in active for _, v in i.bindings]
     units = scan.spread(units.select("path", "content"))
     start = scan.grep(units, values)
-    empty = {"matches": "array()", "rewrites": "array()", "facts": "array()", "bindings": "map()", "outgoing": "array()", "error": "null"}
     schema = units.sparkSession.createDataFrame([], SUMMARY).schema
+    if path != "loop":
+        hindrance = tree_plan.why_not(graph, options, active)
+        if hindrance is None:
+            return tree_plan.run(start, active, options, schema)
+        if path == "plan":
+            raise ProgramError(f"no plan: {hindrance}")
+    empty = {"matches": "array()", "rewrites": "array()", "facts": "array()", "bindings": "map()", "outgoing": "array()", "error": "null"}
     state = start.select("path", F.col("content").alias("original_content"), "content", *(F.expr(v).cast(schema[k].dataType).alias(k) for k, v in empty.items()))
     last = None
     for _ in range(max_rounds):

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import containment as ct
 from .operators import facts as fc
-from .operators import languages, tree_query, trees
+from .operators import languages, trees
 from .operators import templates as tm
 from .plans import execute as ex
+from .plans import tree_plan
 from .plans.graph import RuleGraph, expand_edges
+from .plans.materialise import discard, keep
 from .plans.model import Edge, Options, Rule
 from .sources import config, scan
 
@@ -340,16 +342,16 @@ def html_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_matches(units: DataFrame, language: str, pattern: str, captures: list[str]) -> DataFrame:
-    """path, start_byte, one column a capture: a tree query over each unit."""
-    return _matches(units, language, pattern, captures, "tree")
+    """path, start_byte, one column a capture: a tree query over each unit, as a plan over its nodes."""
+    nodes = keep(tree_plan.parsed(units, language, dirty=True), "nodes")
+    found = tree_plan.find_all(units, nodes.filter("pre IS NOT NULL"), pattern)
+    out = keep(found.select("path", F.col("start").cast("long").alias("start_byte"), *(F.col("captures")[c].alias(c) for c in captures)), "found")
+    discard(nodes)
+    return out
 
 
 def template_matches(units: DataFrame, language: str, pattern: str, captures: list[str]) -> DataFrame:
     """path, start_byte, one column a capture: a concrete-syntax template over each unit."""
-    return _matches(units, language, pattern, captures, "cs")
-
-
-def _matches(units: DataFrame, language: str, pattern: str, captures: list[str], kind: str) -> DataFrame:
     schema = "path string, start_byte bigint" + "".join(f", `{c}` string" for c in captures)
 
     def run(batches):
@@ -359,10 +361,7 @@ def _matches(units: DataFrame, language: str, pattern: str, captures: list[str],
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
                 tree = languages.language(language).parse(content or "")
-                if kind == "tree":
-                    rows += [(path, m.start, *(m.captures.get(c) for c in captures)) for m in tree_query.find_all(tree, tree.root, pattern)]
-                else:
-                    rows += [(path, m.start, *(m.captures[c].text if c in m.captures else None for c in captures)) for m in tm.find_all(tree, tree.root, pattern)]
+                rows += [(path, m.start, *(m.captures[c].text if c in m.captures else None for c in captures)) for m in tm.find_all(tree, tree.root, pattern)]
             yield pd.DataFrame(rows, columns=["path", "start_byte", *captures])
 
     return units.select("path", "content").mapInPandas(run, schema)
