@@ -7,7 +7,7 @@ other units leaves as rule instances.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from dataclasses import field as factory
 
@@ -19,6 +19,9 @@ from . import languages, templates, tree_query
 from .trees import Node, Tree
 
 
+TAG = re.compile(r"@([\w.-]+)|:\[([\w.-]+)\]")
+
+
 @dataclass
 class Match:
     start: int
@@ -27,6 +30,7 @@ class Match:
     captures: dict[str, str]
     delete_from: int | None = None
     delete_to: int | None = None
+    reach: tuple[int, int] | None = None  # what the match was read from, where that is known
 
 
 @dataclass
@@ -104,16 +108,15 @@ class Unit:
             found = templates.find_all(tree, node, pattern[3:].strip(), recursive, replace_node)
             return [Match(m.start, m.end, tree.raw[m.start : m.end].decode("utf-8", "replace"), {k: c.text for k, c in m.captures.items()}) for m in found]
         found = tree_query.find_all(tree, node, pattern, recursive, replace_node, replace_idx)
-        return [Match(m.start, m.end, tree.raw[m.start : m.end].decode("utf-8", "replace"), m.captures) for m in found]
+        return [Match(m.start, m.end, tree.raw[m.start : m.end].decode("utf-8", "replace"), m.captures, reach=m.reach) for m in found]
 
-    def rule_matches(self, inst: Instance, node: Node, recursive: bool = True) -> list[Match]:
+    def rule_matches(self, inst: Instance, node: Node, recursive: bool = True) -> Iterator[Match]:
+        """The rule's matches that pass its filters, last in the file first."""
         r = inst.rule
-        out = []
         for m in self.raw_matches(inst.query, node, recursive, r.replace_node or None, r.replace_idx):
             at = self.tree.smallest(m.start, m.end)
             if all(self.passes(f, at, m) for f in r.filters):
-                out.append(m)
-        return out
+                yield m
 
     def climb(self, node: Node, pattern: str) -> Node | None:
         """The innermost node around (or at) node that matches the pattern as a whole; a leaf is not its own ancestor."""
@@ -239,7 +242,7 @@ class Unit:
         while True:
             node = self.scope_node(scope)
             if r.is_match_only or r.fact:
-                for m in self.rule_matches(inst, node):
+                for m in list(self.rule_matches(inst, node)):
                     if r.fact:
                         data = {k: instantiate(v, {**self.bindings, **m.captures}) for k, v in r.fact}
                         if not any((f.start, f.end, f.data) == (m.start, m.end, data) for f in self.facts):
@@ -249,12 +252,52 @@ class Unit:
                     self.bindings.update(m.captures)
                     self.propagate(r.name, m, None)
                 return
-            found = self.rule_matches(inst, node)
-            if not found:
-                return
-            if len(found) > 1 and not r.filters and self.graph.ends(r.name) and self.edit_all(inst, found):
+            if self.graph.ends(r.name) and (wave := self.wave(inst, node)) and len(wave) > 1 and self.edit_all(inst, wave):
                 continue
-            self.edit(inst, found[0], instantiate(inst.replace, {**self.bindings, **found[0].captures}))
+            first = next(self.rule_matches(inst, node), None)
+            if first is None:
+                return
+            self.edit(inst, first, instantiate(inst.replace, {**self.bindings, **first.captures}))
+
+    def wave(self, inst: Instance, node: Node) -> list[Match]:
+        """Matches of a rule that no other follows which may be edited together; those that wait come in a later wave.
+
+        Without filters these are all.  With filters, and replacements made of the match's
+        own captures, a match goes along where what it and its filters were read from ends
+        before that of the match before it begins, so none of the edits can change it.
+        """
+        r = inst.rule
+        if not r.filters:
+            return list(self.rule_matches(inst, node))
+        out: list[Match] = []
+        floor = len(self.tree.raw) + 1
+        for m in self.rule_matches(inst, node):
+            tags = set(TAG.findall(inst.replace))
+            reach = self.reach(r, m)
+            if reach is None or not all(a in m.captures or b in m.captures for a, b in tags):
+                return []
+            if reach[1] < floor:
+                out.append(m)
+                floor = reach[0]
+        return out
+
+    def reach(self, r: Rule, m: Match) -> tuple[int, int] | None:
+        """The span that holds all that the match and its filters were read from; None where that may be the whole file."""
+        if m.reach is None:
+            return None
+        at = self.tree.smallest(m.start, m.end)
+        low, high = m.reach
+        for f in r.filters:
+            patterns = (f.enclosing_node, f.contains, *f.not_contains)
+            if f.fact_filter or f.outermost_enclosing_node or f.not_enclosing_node or any(p and dialect(p) != "tree" for p in patterns):
+                return None
+            scope = at
+            if f.enclosing_node:
+                scope = self.climb(at, instantiate(f.enclosing_node, {**self.options.substitutions, **m.captures}, pattern=True))
+            elif f.sibling_count is not None:
+                scope = at.parent
+            low, high = min(low, scope.start), max(high, scope.end)
+        return low, high
 
     def edit_all(self, inst: Instance, found: list[Match]) -> bool:
         """Applies the matches of one scan together, where that is the same as one by one; False where it may not be.

@@ -325,6 +325,16 @@ class TreeMatch:
     end: int
     captures: dict[str, str]
     outer: tuple[int, int]
+    reach: tuple[int, int]  # the nodes that the patterns were matched at
+
+
+def _of_span(node: Node) -> Iterator[Node]:
+    """node and the nodes below it of the same span, in pre-order."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(c for c in reversed(n.children) if c.start == node.start and c.end == node.end)
 
 
 def find_all(tree: Tree, node: Node, text: str, recursive: bool = True, replace_node: str | None = None, replace_idx: int | None = None) -> list[TreeMatch]:
@@ -336,13 +346,16 @@ def find_all(tree: Tree, node: Node, text: str, recursive: bool = True, replace_
     """
     q = compile_query(text)
     groups: dict[tuple[int, int], list[Binding]] = {}
-    nodes = node.walk() if recursive else [n for n in node.walk() if (n.start, n.end) == (node.start, node.end)]
-    for n in nodes:
+    reach: dict[tuple[int, int], tuple[int, int]] = {}
+    for n in node.walk() if recursive else _of_span(node):
         for p, preds in zip(q.patterns, q.predicates, strict=True):
             for b in _one(p, n):
                 if b and _holds(preds, b, tree):
                     first = b[0][1]
-                    groups.setdefault((first.start, first.end), []).append(b)
+                    span = first.start, first.end
+                    groups.setdefault(span, []).append(b)
+                    low, high = reach.get(span, span)
+                    reach[span] = min(low, n.start), max(high, n.end)
     out = []
     for span, found in groups.items():
         if len(found) != len(q.patterns) or not recursive and span != (node.start, node.end):
@@ -364,5 +377,5 @@ def find_all(tree: Tree, node: Node, text: str, recursive: bool = True, replace_
                     continue
                 target = kids[replace_idx]
             start, end = target.start, target.end
-        out.append(TreeMatch(start, end, {t: "\n".join(v) for t, v in captured.items()}, span))
+        out.append(TreeMatch(start, end, {t: "\n".join(v) for t, v in captured.items()}, span, reach[span]))
     return sorted(out, key=lambda m: (-m.start, m.end))

@@ -227,17 +227,17 @@ def _closing_run(nodes: DataFrame, now: DataFrame, p: Pattern) -> DataFrame:
     begin = F.filter("runs", may_begin)
     got = got.withColumn("begin", F.when(F.size(begin) > 0, F.element_at(begin, 1)))
     if p.quantifier == "+":
-        got = got.filter(F.col("begin").isNotNull())
+        got = got.filter(F.when(F.col("at") >= -1, F.col("begin").isNotNull()))  # kept above the join that brings the runs
     run = F.filter("runs", lambda x: (x["child_idx"] >= F.col("begin.child_idx")) & (x["island"] == F.col("begin.island")))
     caps = F.when(F.col("begin").isNull(), F.col("caps")).otherwise(F.concat("caps", F.flatten(F.transform(run, lambda x: x["caps"]))))
     return got.withColumn("caps", caps).select(now.columns)
 
 
 def with_texts(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """rows with the text of every capture, cut from the unit's bytes."""
-    raw = units.select("path", F.encode("content", "UTF-8").alias("raw"))
+    """rows with the text of every capture, cut from the unit's bytes (raw)."""
+    raw = units.select("path", F.encode(F.coalesce("content", F.lit("")), "UTF-8").alias("raw"))
     fill = F.transform("caps", lambda c: F.struct(c["tag"].alias("tag"), c["pre"].alias("pre"), c["start"].alias("start"), c["end"].alias("end"), F.substring(F.col("raw"), c["start"] + 1, c["end"] - c["start"]).cast("string").alias("text")))
-    return rows.join(raw, "path").withColumn("caps", fill).drop("raw")
+    return rows.join(raw, "path").withColumn("caps", fill)
 
 
 def _texts(kind: str, value: str) -> Column:
@@ -278,8 +278,11 @@ def raw_matches(units: DataFrame, nodes: DataFrame, text: str, texts: bool = Tru
     parts = []
     for i, (p, preds) in enumerate(zip(q.patterns, q.predicates, strict=True)):
         b = bindings(nodes, p).filter(F.size("caps") > 0)
-        b = with_texts(b, units) if preds or texts else b
-        parts.append(b.filter(_holds(preds)).withColumn("pattern", F.lit(i)))
+        if preds or texts:
+            b = with_texts(b, units)
+            if preds:  # said of the bytes as well, so that the test isn't moved below the join that brings them
+                b = b.filter(F.when(F.octet_length("raw") >= 0, _holds(preds)))
+        parts.append(b.select("path", "pre", "start", "end", "trail", "caps", F.lit(i).alias("pattern")))
     rows = reduce(DataFrame.unionByName, parts)
     head = F.element_at("caps", 1)
     return rows.select("path", F.col("pre").alias("root"), F.col("start").alias("root_start"), F.col("end").alias("root_end"), "pattern", "trail", "caps", head["start"].alias("start"), head["end"].alias("end"))
@@ -477,7 +480,7 @@ def run(units: DataFrame, active: list[Instance], options: Options, schema) -> D
         "facts": F.coalesce(F.transform("f", lambda e: e["x"]), F.array()),
         **{k: F.expr(v) for k, v in empty.items()},
     }
-    names = [f.name for f in schema.fields if f.name not in ("bindings", "outgoing")]
+    names = [f.name for f in schema.fields if f.name not in ("bindings", "outgoing", "todo", "ran")]
     out = keep(done.select(*(values.get(c, F.col(c)).cast(schema[c].dataType).alias(c) for c in names)), "summary")
     discard(nodes)
     return out
