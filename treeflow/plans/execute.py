@@ -10,6 +10,7 @@ one value for each global tag, and instances that no value or folder confines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Rgx
 from ..operators.rewrite import Edit, Fact, Match, Unit
-from ..sources import scan
+from ..sources import scan, sink
 from . import rounds, tree_plan
 from .graph import RuleGraph
-from .materialise import discard, keep
+from .materialise import keep, shared_dir
 from .model import Instance, Options, ProgramError, Rule, dialect, instantiate
 
 ROWS_A_BATCH = 256  # units that wait in memory for one Arrow batch
@@ -85,12 +86,13 @@ def _evaluator(graph: RuleGraph, options: Options, tags: dict[str, str], schema)
     return run
 
 
-def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None, max_rounds: int = 50, path: str = "auto") -> DataFrame:
+def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None, max_rounds: int = 50, path: str = "auto", store=None) -> DataFrame:
     """Summaries (SUMMARY without bindings and outgoing) of the units that matched, changed, hold facts or failed.
 
     units has path and content.  A unit that fails keeps its text and says why in error.
     Programs that only look run as DataFrame plans over a node table (``tree_plan``),
-    others as a loop for each file; path "plan" or "loop" asks for one of them.
+    others as a loop for each file; path "plan" or "loop" asks for one of them.  A
+    ``store.NodeStore`` keeps the nodes that plans have parsed for the next program.
     """
     options = options or Options()
     if path not in ("auto", "plan", "loop"):
@@ -107,7 +109,7 @@ def execute(units: DataFrame, graph: RuleGraph, options: Options | None = None,
     if path != "loop":
         hindrance = tree_plan.why_not(graph, options, active)
         if hindrance is None:
-            return tree_plan.run(start, active, options, schema)
+            return tree_plan.run(start, active, options, schema, store)
         if path == "plan":
             raise ProgramError(f"no plan: {hindrance}")
     return _rounds(units, start, graph, options, active, schema, max_rounds)
@@ -215,29 +217,11 @@ def to_json(summary: DataFrame) -> DataFrame:
 
 
 def persist(summary: DataFrame, options: Options) -> None:
-    """Writes changed files where they were read; nothing under dry_run; empties are deleted if so wanted.
-
-    A file is replaced as a whole, so a task that is run again does no harm.  Executors
-    write through their mount of the code base: a path of another file system is an
-    error, and its changed files are to be taken from the summary.
-    """
+    """Puts changed files where they were read, all or none (``sources.sink``); nothing under dry_run; empties go if so wanted."""
     if options.dry_run:
         return
-    delete = options.delete_file_if_empty
-
-    def write(rows) -> None:
-        import os
-
-        for r in rows:
-            path = r["path"]
-            if "://" in path:
-                raise ProgramError(f"{path}: files of this file system are not rewritten in place; write the summary's content instead")
-            if delete and r["content"] == "":
-                if os.path.exists(path):
-                    os.remove(path)
-                continue
-            with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"])
-            os.replace(f"{path}.tmp", path)
-
-    summary.filter("error IS NULL AND content <> original_content").select("path", "content").foreachPartition(write)
+    content = F.when(F.col("content") == "", F.lit(None)).otherwise(F.col("content")) if options.delete_file_if_empty else F.col("content")
+    changed = summary.filter("error IS NULL AND content <> original_content").select("path", content.alias("content"))
+    spark = summary.sparkSession
+    folder = sink.stage(changed, f"{shared_dir(spark)}/treeflow-core/manifests-{uuid.uuid4().hex}")
+    sink.put_in_place(spark, folder)

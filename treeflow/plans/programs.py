@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .execute import execute
 from .graph import RuleGraph
-from .materialise import keep
+from .materialise import discard, keep
 from .model import Edge, Options, Rule
+from .store import NodeStore
 
 #: From the distinct captures of a step (rule, captures) to the next graph.
 GraphMaker = Callable[[list[tuple[str, dict[str, str]]]], RuleGraph]
@@ -39,21 +40,29 @@ def captures_of(summary: DataFrame, most: int = 10_000) -> list[tuple[str, dict[
 def run_steps(units: DataFrame, steps: Iterable[Step], options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(units after all steps, step / path / rule / n of what each did).
 
-    A file that fails in a step goes on unchanged to the next one.
+    A file that fails in a step goes on unchanged to the next one.  Steps that only look
+    share one store of nodes, so a unit that no step changed is parsed once.
     """
     options = options or Options()
+    store = NodeStore(options.language, options.allow_dirty_ast)
     current, done, captured = units.select("path", "content"), None, []
     for step in steps:
         graph = step.graph if isinstance(step.graph, RuleGraph) else step.graph(captured)
         if not graph.rules:
             continue
         o = options if step.substitutions is None else replace(options, substitutions=step.substitutions)
-        summary = keep(execute(current, graph, o), "step")
+        summary = keep(execute(current, graph, o, store=store), "step")
         captured = captures_of(summary)
         did = summary.select("path", F.explode(F.concat("matches.rule", "rewrites.matched_rule")).alias("rule")).groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n")).select(F.lit(step.name).alias("step"), "path", "rule", "n")
+        did = keep(did, "did")
         done = did if done is None else done.unionByName(did)
         new = summary.select("path", F.col("content").alias("new"))
+        before = current
         current = keep(current.join(new, "path", "left").select("path", F.coalesce("new", "content").alias("content")), "units")
+        discard(summary)
+        if hasattr(before, "_kept"):
+            discard(before)
+    store.forget()
     if done is None:
         raise ValueError("no step had a rule")
     return current, done

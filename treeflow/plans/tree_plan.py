@@ -443,9 +443,11 @@ def rule_matches(units: DataFrame, nodes: DataFrame, inst: Instance, facts: Data
     return found.select(*KEY, "captures")
 
 
-def run(units: DataFrame, active: list[Instance], options: Options, schema) -> DataFrame:
-    """Summaries (columns of the loop's) of the units that hold matches or facts, or failed."""
-    nodes = keep(parsed(units, options.language, options.allow_dirty_ast), "nodes")
+def run(units: DataFrame, active: list[Instance], options: Options, schema, store=None) -> DataFrame:
+    """Summaries (columns of the loop's) of the units that hold matches or facts, or failed.
+
+    With a NodeStore, only units that it hasn't parsed are parsed."""
+    nodes = keep(parsed(units, options.language, options.allow_dirty_ast), "nodes") if store is None else store.nodes(units)
     errors = nodes.filter("error IS NOT NULL").select("path", "error")
     real = nodes.filter("pre IS NOT NULL")
     parts, facts = [], None
@@ -482,7 +484,8 @@ def run(units: DataFrame, active: list[Instance], options: Options, schema) -> D
     }
     names = [f.name for f in schema.fields if f.name not in ("bindings", "outgoing", "todo", "ran")]
     out = keep(done.select(*(values.get(c, F.col(c)).cast(schema[c].dataType).alias(c) for c in names)), "summary")
-    discard(nodes)
+    if store is None:
+        discard(nodes)
     return out
 
 
