@@ -6,8 +6,9 @@ import pytest
 
 from treeflow.operators import facts as fc
 from treeflow.plans import execute as ex
+from treeflow.plans import program_tables
 from treeflow.plans.graph import RuleGraph
-from treeflow.plans.model import Options, Rule
+from treeflow.plans.model import Edge, Options, ProgramError, Rule
 from treeflow.plans.store import NodeStore
 from treeflow.sources import sink
 
@@ -94,3 +95,35 @@ def test_empty_files_go_when_asked(spark, tmp_path):
         out = ex.execute(spark.createDataFrame([(str(f), "class A { }")], "path string, content string"), RuleGraph([rule]))
         ex.persist(out, Options(dry_run=False, delete_file_if_empty=not keeps))
         assert f.exists() == keeps
+
+
+def random_program(rng):
+    """Rules with tags t0-t3, junctions that lead onward only, and edges with cycles among other rules."""
+    names = [f"r{i}" for i in range(14)]
+    dummy = {n for n in names if rng.random() < 0.3}
+    rules = [Rule(n, "" if n in dummy else f"((identifier) @t{rng.randrange(4)})", is_seed_rule=n not in dummy and rng.random() < 0.2 or n == "r0" and n not in dummy) for n in names]
+    edges = []
+    for i, a in enumerate(names):
+        for _ in range(rng.randrange(4)):
+            j = rng.randrange(i + 1, 14) if a in dummy and i < 13 else None if a in dummy else rng.randrange(14)
+            if j is not None:
+                edges.append(Edge(a, (names[j],), rng.choice(["Parent", "Global", "Directory"])))
+    return RuleGraph(rules, edges)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_programs_as_tables(spark, seed):
+    graph = random_program(random.Random(seed))
+    rules = spark.createDataFrame([(r.name, r.is_dummy, r.is_seed_rule, sorted(graph.defined(r))) for r in graph.rules.values()], "rule string, is_dummy boolean, is_seed boolean, defined array<string>")
+    edges = spark.createDataFrame([(a, b, s) for a, out in graph.out.items() for s, b in out], "source string, target string, scope string")
+    want = {(n, s, t) for n in graph.rules for s, ts in graph.successors(n).items() for t in ts}
+    assert {(r.source, r.scope, r.target) for r in program_tables.successors(rules, edges).collect()} == want
+    got = {r.rule: set(r.tags) for r in program_tables.assigned(rules, edges, ["t3", "u"]).collect()}
+    assert got == graph.assigned(["t3", "u"])
+
+
+def test_junctions_in_a_circle(spark):
+    rules = spark.createDataFrame([("a", False), ("j", True), ("k", True)], "rule string, is_dummy boolean")
+    edges = spark.createDataFrame([("a", "j", "x"), ("j", "k", "x"), ("k", "j", "x")], "source string, target string, scope string")
+    with pytest.raises(ProgramError, match="circle|cycle"):
+        program_tables.successors(rules, edges)

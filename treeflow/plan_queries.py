@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .engine_queries import ORDERS, customer_units
+from .operators import facts as fc
 from .plans import execute as ex
-from .plans import tree_plan
+from .plans import program_tables, tree_plan
 from .plans.graph import RuleGraph
 from .plans.materialise import discard, keep
 from .plans.model import Filter, Options, Rule
@@ -100,3 +102,76 @@ def plan_fact_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ex.execute(java_units(spark, sf_dir), RuleGraph([first, second]), Options(), path="plan")
     facts = out.filter(F.exists("matches", lambda m: m["rule"] == "named")).select("path", F.explode("facts").alias("f"))
     return facts.select("path", F.col("f.data")["kind"].alias("kind"), F.col("f.data")["value"].alias("value"))
+
+
+# rule programs made of table rows -----------------------------------------------------------
+
+CHAIN = "(SELECT o_orderkey AS k, lead(o_orderkey) OVER w AS next, o_orderstatus = 'F' AS dummy, o_orderpriority AS scope FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderstatus IN ('O', 'F') ORDER BY o_orderkey))"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {CHAIN} WHERE next IS NOT NULL), reach AS (SELECT k AS source, scope, next AS target FROM e UNION ALL SELECT r.source, e.scope, e.next FROM reach r JOIN e ON r.target = e.k WHERE e.dummy) SELECT source, scope, target FROM reach WHERE target IN (SELECT k FROM {CHAIN} WHERE NOT dummy)")
+def plan_junction_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a rule, followed by the customer's next one; finished orders are junctions."""
+    o = read(spark, sf_dir, "orders")
+    w = W.partitionBy("o_custkey", F.col("o_orderstatus").isin("O", "F")).orderBy("o_orderkey")
+    rows = o.select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").alias("is_dummy"), F.lead("o_orderkey").over(w).alias("next"))
+    rules = rows.select(F.col("o_orderkey").alias("rule"), "is_dummy")
+    edges = rows.filter("next IS NOT NULL").select(F.col("o_orderkey").alias("source"), F.col("next").alias("target"), F.col("o_orderpriority").alias("scope"))
+    return program_tables.successors(rules, edges)
+
+
+PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+LINES = f"(SELECT o, n, f, first_value(f) OVER (PARTITION BY o ORDER BY n) AS f1 FROM (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(PLACE)}) AS n, l_returnflag AS f FROM lineitem))"
+
+
+def line_program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each line of an order is a rule that defines its flag; lines 1 and 3 are seeds, lines follow their forerunner and line 1."""
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*PLACE))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), "l_returnflag")
+    name = F.concat_ws("-", "l_orderkey", "n")
+    rules = line.select(name.alias("rule"), F.lit(False).alias("is_dummy"), F.col("n").isin(1, 3).alias("is_seed"), F.array("l_returnflag").alias("defined"), F.array(F.lit("A"), F.lit("N")).alias("used"))
+    ways = F.array_distinct(F.array(F.col("n") - 1, F.lit(1)))
+    later = line.filter("n > 1").select("l_orderkey", name.alias("target"), F.explode(ways).alias("way"))
+    edges = later.select(F.concat_ws("-", "l_orderkey", "way").alias("source"), "target", F.lit("Parent").alias("scope"))
+    return rules, edges
+
+
+BOUND = f"(SELECT o, n, f, CASE WHEN n = 2 OR n > 3 AND EXISTS (SELECT 1 FROM {LINES} y WHERE y.o = x.o AND y.n BETWEEN 3 AND x.n - 1 AND y.f = x.f1) THEN f1 ELSE '' END AS tags FROM {LINES} x)"
+
+
+@query(f"SELECT o || '-' || n AS rule, tags FROM {BOUND}")
+def plan_assigned_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags bound on entry of each rule, whatever the way to it."""
+    rules, edges = line_program(spark, sf_dir)
+    return program_tables.assigned(rules, edges, []).select("rule", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"SELECT o || '-' || n AS rule, t.tag AS tag FROM {BOUND}, (VALUES ('A'), ('N')) t(tag) WHERE t.tag <> f AND t.tag <> tags")
+def plan_unbound_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags that a rule uses and that may be unbound."""
+    rules, edges = line_program(spark, sf_dir)
+    return program_tables.unbound(rules, program_tables.assigned(rules, edges, []))
+
+
+# facts --------------------------------------------------------------------------------------
+
+OLD_UNIT = "(SELECT c_custkey AS c, '/* ünï → */ ' || string_agg('int o' || o_orderkey || CASE o_orderstatus WHEN 'F' THEN ' drop;' WHEN 'O' THEN ' keep;' ELSE ' lines;' END, ' ' ORDER BY o_orderkey) AS old FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey)"
+NEW_UNIT = f"(SELECT c, replace(replace(old, ' drop;', ';'), ' lines;', chr(10) || 'é' || chr(10) || ' ;') AS new FROM {OLD_UNIT})"
+BEFORE = "substr(new, 1, strpos(new, 'int o' || o_orderkey || CASE o_orderstatus WHEN 'O' THEN ' ' WHEN 'F' THEN ';' ELSE chr(10) END) - 1)"
+
+
+@query(f"SELECT o_orderkey, strlen(b) AS span_start, length(b) - length(replace(b, chr(10), '')) AS row, strlen(string_split(b, chr(10))[-1]) AS col FROM (SELECT o_orderkey, {BEFORE} AS b FROM orders JOIN {NEW_UNIT} ON c = o_custkey)")
+def plan_moved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts at the orders of a unit after an edit at every third of them or so, points included."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    tail = F.when(F.col("o_orderstatus") == "F", " drop;").when(F.col("o_orderstatus") == "O", " keep;").otherwise(" lines;")
+    code = F.concat(F.lit("int o"), "o_orderkey")
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, -1)
+    sized = o.select("o_orderkey", "o_orderstatus", F.concat(F.lit("/c/"), "o_custkey").alias("path"), code.alias("code"), tail.alias("tail"), F.coalesce(F.sum(F.char_length(code) + F.char_length(tail) + 1).over(w), F.lit(0)).alias("at"))
+    lead = F.octet_length(F.lit("/* ünï → */ "))
+    placed = sized.withColumn("start", (F.col("at") + lead).cast("int")).withColumn("stop", (F.col("start") + F.char_length("code")).cast("int"))
+    facts = placed.select("o_orderkey", "path", "start", F.col("stop").alias("end"), F.lit(0).alias("row"), F.col("start").alias("column"), F.lit(False).alias("voided"))
+    new = F.when(F.col("o_orderstatus") == "F", ";").otherwise("\né\n ;")
+    edits = placed.filter("o_orderstatus <> 'O'").select("path", F.col("stop").alias("start"), (F.col("stop") + F.char_length("tail")).cast("int").alias("old_end"), F.col("stop").alias("column"), F.col("tail").alias("old_text"), new.alias("new_text"))
+    got = fc.moved(facts, edits).filter("NOT voided")
+    return got.select("o_orderkey", F.col("start").alias("span_start"), "row", F.col("column").alias("col"))
