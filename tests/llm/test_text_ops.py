@@ -151,15 +151,15 @@ def own_encoding():
 
 
 def test_bpe_long_pieces():
-    """Both recursive queries, at and beside the length that parts them, on runs and on letters without a pattern."""
+    """Parts at and beside the length of a segment, short and long segments, on runs and on letters without a pattern."""
     import public_tokenizers as P
 
     path, enc = own_encoding()
     rng = random.Random(2)
     letters = lambda of, n: "".join(rng.choice(of) for _ in range(n))
     texts = [letters("etaoin", n) for n in (127, 128, 129, 130, 400)] + ["a" * n for n in (127, 128, 129, 3000)] + ["ab" * 900 + "ba" * 900, letters("acgt", 4000), letters("thean", 2500), "the" * 400, "日本" * 300, "ß" * 500]
-    for limit in (128, 1, 10_000):
-        coder = bpe.DuckBpe(path, P.PATTERN, long_piece=limit)
+    for limit, beside in ((128, 8), (5, 1), (64, 2)):
+        coder = bpe.DuckBpe(path, P.PATTERN, segment=limit, beside=beside)
         some = texts if limit == 128 else [t for t in texts if len(t) <= 900]
         ids, at, raw, end = coder.rows(some)
         for i, t in enumerate(some):
@@ -167,6 +167,18 @@ def test_bpe_long_pieces():
             assert raw[end[i] : end[i + 1]].tobytes() == t.encode()
 
 
+def test_bpe_runs_of_megabytes():
+    """Memory doesn't follow the length of a part: DuckDB has 200 MB for a run of 5 million letters, shifted by one."""
+    import public_tokenizers as P
+
+    path, enc = own_encoding()
+    coder = bpe.DuckBpe(path, P.PATTERN, memory_mb=200)
+    unit = enc.encode_ordinary("x" + "a" * 4999)
+    ids, _, raw, _ = coder.rows(["x" + "a" * 5_000_000])
+    assert raw.tobytes() == b"x" + b"a" * 5_000_000
+    assert ids[: len(unit) - 8].tolist() == unit[:-8] and len(set(ids.tolist())) <= len(set(unit)) + 6
+
+
 def test_bpe_order_of_lower_ranks():
     """Contractions that make a pair of a lower rank: the places behind it wait, as one by one."""
     import tiktoken
@@ -174,7 +186,8 @@ def test_bpe_order_of_lower_ranks():
     ranks = {bytes([i]): i for i in range(256)} | {b"xa": 256, b"ax": 257, b"aax": 258, b"xaa": 259, b"aa": 260, b"aaa": 261, b"aaaa": 262, b"ba": 263, b"aab": 264}
     enc = tiktoken.Encoding("odd", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
     coder = bpe.DuckBpe.__new__(bpe.DuckBpe)
-    coder.load(ranks, "[a-z]+", 1000, 0, 200)
+    coder.segment, coder.beside = 4, 1
+    coder.load(ranks, "[a-z]+", 1000, 200, 1000)
     rng = random.Random(3)
     for _ in range(40):
         t = "".join(rng.choice("aaabx") for _ in range(rng.randrange(1, 60)))

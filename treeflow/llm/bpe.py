@@ -7,12 +7,13 @@ contracts every word's leftmost pair of minimum rank until no pair is left.
 Decoding is an ordered aggregation of the vocabulary's bytes.
 
 No token crosses a byte pair that occurs inside no token, so a piece is first cut
-there.  A step of ``ENCODE`` contracts one pair of a word, which suits words.  Parts
-of over ``long_piece`` bytes go through ``ENCODE_RUNS``, a recursive query of the
-same contraction whose step takes all places of the minimum rank at once, from the
-left and without overlap, up to the first whose contraction makes a pair of a still
-lower rank; so a long run of letters takes a step for each rank that occurs in it.
-DuckDB holds everything in memory (``memory_mb``) and writes no files.
+there.  Parts of over ``SEGMENT`` bytes are contracted by segments of that size, all in
+one query, and joined: a sequence of tokens is the encoding of its text where each two
+neighbours are that of theirs (contracting their bytes gives the two again).  Where the
+tokens beside a border are not, the bytes of some tokens on both sides are contracted
+anew, of more until both edges of the stretch fit.  So no query holds more than short
+words, whatever the length of a part.  DuckDB works in memory (``memory_mb``) and writes
+no files.
 
 Defined results: a null or empty text has no ids and decodes to nothing; rows
 are independent, so repeated rows get equal results; the output has the key
@@ -49,30 +50,9 @@ WITH RECURSIVE step(w, toks) AS (
 )
 SELECT w, arg_min(toks, len(toks)) AS ids FROM step GROUP BY w
 """
-ENCODE_RUNS = """
-WITH RECURSIVE step(w, toks) USING KEY (w) AS (
-    SELECT w, toks FROM start
-  UNION
-    SELECT w, list(CASE WHEN taken THEN merged ELSE tok END ORDER BY pos) FILTER (NOT gone) AS toks FROM (
-        SELECT *, coalesce(lag(taken) OVER (PARTITION BY w ORDER BY pos), false) AS gone FROM (
-            SELECT *, chosen AND coalesce(max(CASE WHEN chosen AND lowers THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS taken FROM (
-                SELECT c.*, coalesce(before.merged < c.merged, false) OR coalesce(behind.merged < c.merged, false) AS lowers FROM (
-                    SELECT *, CASE WHEN lag(chosen, 2) OVER (PARTITION BY w ORDER BY pos) THEN merged ELSE lag(tok) OVER (PARTITION BY w ORDER BY pos) END AS l, lead(tok, 2) OVER (PARTITION BY w ORDER BY pos) AS r FROM (
-                        SELECT *, hit AND (pos - coalesce(max(CASE WHEN NOT hit THEN pos END) OVER (PARTITION BY w ORDER BY pos), 0)) % 2 = 1 AS chosen FROM (
-                            SELECT *, coalesce(merged = min(merged) OVER (PARTITION BY w), false) AS hit FROM (
-                                SELECT p.*, g.merged FROM (
-                                    SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS after FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM step)
-                                ) p LEFT JOIN merges g ON g.pair = (CAST(p.tok AS BIGINT) << 32) | p.after
-                            )
-                        )
-                    )
-                ) c LEFT JOIN merges before ON c.chosen AND before.pair = (CAST(c.l AS BIGINT) << 32) | c.merged LEFT JOIN merges behind ON c.chosen AND behind.pair = (CAST(c.merged AS BIGINT) << 32) | c.r
-            )
-        )
-    ) GROUP BY w HAVING bool_or(taken)
-)
-SELECT w, toks AS ids FROM step
-"""
+#: Bytes of a segment, and tokens taken from each side of a border at first.
+SEGMENT = 128
+BESIDE = 8
 DECODE = "SELECT u.w, string_agg(v.hex, '' ORDER BY u.pos) AS hex FROM (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM coded) u JOIN vocab v ON v.id = u.tok GROUP BY u.w ORDER BY u.w"
 
 
@@ -84,16 +64,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Piece coder of one task; the piece cache is bounded and only saves work."""
 
-    def __init__(self, path: str, pattern: str, cache_pieces: int = 400_000, long_piece: int = 128, memory_mb: int = 600):
-        self.load(load_ranks(path), pattern, cache_pieces, long_piece, memory_mb)
+    def __init__(self, path: str, pattern: str, cache_pieces: int = 400_000, memory_mb: int = 600, cache_chars: int = 16_000_000, segment: int = SEGMENT, beside: int = BESIDE):
+        self.segment, self.beside = segment, beside
+        self.load(load_ranks(path), pattern, cache_pieces, memory_mb, cache_chars)
 
-    def load(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int, long_piece: int, memory_mb: int) -> None:
+    def load(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int, memory_mb: int, cache_chars: int) -> None:
         import duckdb
         import regex
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.cache_pieces, self.long_piece = cache_pieces, long_piece
+        self.cache_pieces, self.cache_chars = cache_pieces, cache_chars
+        self.token = {r: k for k, r in ranks.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.stretches: dict[bytes, list[int]] = {}
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": ""})
         ids = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -115,6 +99,7 @@ class DuckBpe:
     def forget(self) -> None:
         """Known pieces: number by text, and per number the bounds of its ids and of its bytes."""
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.id_at, self.byte_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -127,31 +112,102 @@ class DuckBpe:
 
     def contract(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all parts, one after the other, and the number of ids of each part."""
+        long = [i for i, p in enumerate(parts) if len(p) > self.segment]
+        if not long:
+            return self.contract_short(parts)
+        short = [i for i, p in enumerate(parts) if len(p) <= self.segment]
+        ids, count = self.contract_short([parts[i] for i in short])
+        each: list[np.ndarray] = [np.zeros(0, np.int32)] * len(parts)
+        for i, x in zip(short, np.split(ids, np.cumsum(count)[:-1]) if short else [], strict=True):
+            each[i] = x
+        for i in long:
+            each[i] = self.contract_long(parts[i])
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def contract_short(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(parts), np.uint8)
         start = np.cumsum(size) - size
         count, found = np.zeros(len(parts), np.int64), []
-        for query, some in ((ENCODE, np.flatnonzero(size <= self.long_piece)), (ENCODE_RUNS, np.flatnonzero(size > self.long_piece))):
-            # intermediate lists of a word fill at most half its squared length
-            work = np.cumsum(size[some] ** 2 if query is ENCODE else size[some] * 20)
-            at = 0
-            while at < len(some):
-                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 20_000_000, side="right")))
-                w = some[at:to]
-                tok = self.byte_id[raw[_ranges(start[w], size[w])]]
-                bounds = np.concatenate([[0], np.cumsum(size[w])]).astype(np.int32)
-                got = self.ask(query, "start", {"w": pa.array(w.astype(np.int32)), "toks": pa.ListArray.from_arrays(pa.array(bounds), pa.array(tok))})
-                ids = got.column("ids").combine_chunks()
-                who = got.column("w").to_numpy()
-                count[who] = np.diff(ids.offsets.to_numpy())
-                found.append((who, ids.flatten().to_numpy()))
-                at = to
+        work = np.cumsum(size**2)  # intermediate lists of a word fill at most half its squared length
+        at = 0
+        while at < len(parts):
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 20_000_000, side="right")))
+            w = np.arange(at, to)
+            tok = self.byte_id[raw[_ranges(start[w], size[w])]]
+            bounds = np.concatenate([[0], np.cumsum(size[w])]).astype(np.int32)
+            got = self.ask(ENCODE, "start", {"w": pa.array(w.astype(np.int32)), "toks": pa.ListArray.from_arrays(pa.array(bounds), pa.array(tok))})
+            ids = got.column("ids").combine_chunks()
+            who = got.column("w").to_numpy()
+            count[who] = np.diff(ids.offsets.to_numpy())
+            found.append((who, ids.flatten().to_numpy()))
+            at = to
         out = np.zeros(int(count.sum()), np.int32)
         first = np.cumsum(count) - count
         for who, ids in found:
             out[_ranges(first[who], count[who])] = ids
         return out, count
 
+    def contract_long(self, part: bytes) -> np.ndarray:
+        """The ids of a part of any length, by segments."""
+        if len(self.pairs) + len(self.stretches) > 300_000:
+            self.pairs, self.stretches = {}, {}
+        segments = [part[i : i + self.segment] for i in range(0, len(part), self.segment)]
+        known = self.many(set(segments))
+        blocks = [known[x] for x in segments]
+        # what the borders need is asked for in three queries; the pass below finds it known, but where stretches grow
+        self.fit({(a[-1], b[0]) for a, b in zip(blocks, blocks[1:])})
+        bad = [(a, b) for a, b in zip(blocks, blocks[1:]) if not self.pairs[a[-1], b[0]]]
+        self.stretches |= self.many({self.bytes_of([*a[-self.beside:], *b[:self.beside]]) for a, b in bad} - self.stretches.keys())
+        edges = set()
+        for a, b in bad:
+            new = self.stretches[self.bytes_of([*a[-self.beside:], *b[:self.beside]])]
+            if len(a) > self.beside:
+                edges.add((a[-self.beside - 1], new[0]))
+            if len(b) > self.beside:
+                edges.add((new[-1], b[self.beside]))
+        self.fit(edges)
+        out = list(blocks[0])
+        for b in blocks[1:]:
+            left = right = self.beside
+            if self.fits(out[-1], b[0]):
+                out += b
+                continue
+            while True:
+                text = self.bytes_of([*out[-left:], *b[:right]])
+                new = self.stretches.get(text)
+                if new is None:
+                    new = self.stretches[text] = self.many({text})[text]
+                grow_left = len(out) > left and not self.fits(out[-left - 1], new[0])
+                grow_right = len(b) > right and not self.fits(new[-1], b[right])
+                if not grow_left and not grow_right:
+                    break
+                left, right = left * (1 + grow_left), right * (1 + grow_right)
+            out[-left:] = new
+            out += b[right:]
+        return np.array(out, np.int32)
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join([self.token[i] for i in ids])
+
+    def many(self, texts: set[bytes]) -> dict[bytes, list[int]]:
+        names = sorted(texts)
+        if not names:
+            return {}
+        ids, count = self.contract_short(names)
+        return {n: x.tolist() for n, x in zip(names, np.split(ids, np.cumsum(count)[:-1]), strict=True)}
+
+    def fit(self, pairs: set[tuple[int, int]]) -> None:
+        """Finds out of pairs of ids whether contracting their bytes gives them again."""
+        new = [p for p in pairs if p not in self.pairs]
+        got = self.many({self.bytes_of(p) for p in new})
+        self.pairs |= {p: got[self.bytes_of(p)] == list(p) for p in new}
+
+    def fits(self, a: int, b: int) -> bool:
+        if (a, b) not in self.pairs:
+            self.fit({(a, b)})
+        return self.pairs[a, b]
+
     def ask(self, query: str, name: str, columns: dict[str, pa.Array]) -> pa.Table:
         self.con.register(name, pa.table(columns))
         got = self.con.sql(query).to_arrow_table()
@@ -173,6 +229,7 @@ class DuckBpe:
         ids = np.repeat(whole, size).astype(np.int32)
         ids[np.repeat(whole < 0, size)] = flat  # parts stand in the order of their pieces
         decoded, length = self.decode(ids, size)
+        self.chars += sum(map(len, names))
         self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
         self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, decoded])
         self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(size)])
@@ -180,6 +237,9 @@ class DuckBpe:
 
     def decode(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of runs of ids, one after the other, and the number of bytes of each run (size: its ids, one at least)."""
+        pieces, most = size, 100_000
+        if len(size) and int(size.max()) > most:  # the ids of a long run are decoded a stretch at a time
+            size = np.concatenate([np.minimum(most, n - np.arange(0, n, most)) for n in size.tolist()])
         bounds = np.concatenate([[0], np.cumsum(size)])
         raw, length = [], []
         at = 0
@@ -190,7 +250,10 @@ class DuckBpe:
             length.append(pc.binary_length(text).to_numpy().astype(np.int64) // 2)
             raw += [np.frombuffer(bytes.fromhex(string_buffer(c)[0].tobytes().decode()), np.uint8) for c in text.chunks]
             at = to
-        return np.concatenate([np.zeros(0, np.uint8), *raw]), np.concatenate([np.zeros(0, np.int64), *length])
+        flat = np.concatenate([np.zeros(0, np.int64), *length])
+        if pieces is not size:
+            flat = np.add.reduceat(flat, np.searchsorted(bounds, np.cumsum(pieces) - pieces))
+        return np.concatenate([np.zeros(0, np.uint8), *raw]), flat
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, id bounds, decoded bytes and byte bounds of the texts."""
@@ -201,7 +264,7 @@ class DuckBpe:
         missing = np.flatnonzero(number < 0).tolist()
         if missing:
             new = {flat[i] for i in missing}
-            if len(self.known) + len(new) > self.cache_pieces:
+            if len(self.known) + len(new) > self.cache_pieces or self.chars > self.cache_chars:
                 self.forget()
                 new, missing = set(flat), range(len(flat))
             self.learn(new)
