@@ -65,6 +65,12 @@ def test_pages_of_other_shapes():
         assert h.main_text(page, h.trained()) == want
 
 
+def test_names_of_the_whole_page_say_nothing_of_a_block():
+    p = "<p>This is a long enough paragraph about rivers, hills and towns that people visit in summer. It has a second sentence, too.</p>"
+    for head in ('<body class="has-sidebar"><article>', '<html class="nav-open"><body id="comments"><article>', '<body><article class="post tag-news">'):
+        assert h.main_text(f"{head}{p}{p}</article></body>", h.trained()) == "\n\n".join([p[3:-4]] * 2)
+
+
 def test_markup_never_crashes_or_hides_the_page():
     texts = lambda p: [b.text for b in h.blocks(p)]
     assert texts('<div data-y="foo">x</div>') == ["x"]

@@ -59,7 +59,7 @@ HINTS = {
     "menu": r"nav|menu|breadcrumb|pagination|pager|toc\b|tabs?\b",
     "comment": r"comment|repl(?:y|ies)|discuss|disqus|respon",
     "notice": r"cookie|consent|notice|gdpr|alert|popup|modal|newsletter|subscri|signup|banner",
-    "side": r"side|related|widget|share|social|recommend|trending|tags?\b",
+    "side": r"side|related|widget|share|social|recommend|trending|tags?\b(?!-)",
     "foot": r"foot|copyright|legal|credits",
     "head": r"head|masthead|logo|topbar|brand|contentinfo",
     "form": r"search|login|form",
@@ -286,7 +286,7 @@ def blocks(page: str | None, labels: bool = False) -> list[Block]:
             value = value.strip("\"'")
             if name.lower() == "data-y":
                 label = (1 if value == "1" else 0) if labels else None
-            else:
+            elif tag not in ("html", "body"):  # what the whole page is called says nothing of a block
                 hints = hints | {k for k, r in HINTS.items() if r.search(value)}
         open_.push(tag, hints, label)
     flush()
