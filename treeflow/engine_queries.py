@@ -7,12 +7,14 @@ characters of several bytes, so offsets are byte offsets.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import execute as ex
 from .plans.graph import RuleGraph
-from .plans.materialise import shared_dir
+from .plans.materialise import delete, keep, shared_dir
 from .plans.model import Edge, Filter, Options, Rule, Scope
 from .queries import query, read
 from .sources import scan
@@ -370,11 +372,13 @@ def engine_instances_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS nation, 'class N { String s = \"' || n_name || '\"; }' || chr(10) AS content FROM nation WHERE n_nationkey BETWEEN 10 AND 19 AND n_nationkey <> 13")
 def codebase_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a folder tree with globs, read whole, as a code base."""
-    where = f"{shared_dir(spark)}/treeflow-core/code-base"
+    where = f"{shared_dir(spark)}/treeflow-core/code-base-{uuid.uuid4().hex}"
     made = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit('class N { String s = "'), "n_name", F.lit('"; }')).alias("value"))
-    made.write.mode("overwrite").partitionBy("n_nationkey").text(where)
+    made.write.partitionBy("n_nationkey").text(where)
     units = scan.codebase(spark, [where], "txt", include=["**/n_nationkey=1?/*"], exclude=["**/n_nationkey=13/*"])
-    return units.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).alias("nation"), "content")
+    out = keep(units.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).alias("nation"), "content"), "scanned")
+    delete(spark, where)
+    return out
 
 
 @query("SELECT r_name AS name, 'sample.java' AS path, 'class S { Object o = f(found); }' AS content FROM region")

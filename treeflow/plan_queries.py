@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .engine_queries import ORDERS, customer_units
+from .functions import text as tx
+from .operators import containment as ct
 from .operators import facts as fc
 from .plans import execute as ex
 from .plans import program_tables, tree_plan
@@ -175,3 +177,21 @@ def plan_moved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = placed.filter("o_orderstatus <> 'O'").select("path", F.col("stop").alias("start"), (F.col("stop") + F.char_length("tail")).cast("int").alias("old_end"), F.col("stop").alias("column"), F.col("tail").alias("old_text"), new.alias("new_text"))
     got = fc.moved(facts, edits).filter("NOT voided")
     return got.select("o_orderkey", F.col("start").alias("span_start"), "row", F.col("column").alias("col"))
+
+
+@query(f"SELECT path, 'argument_list' AS kind, '(' || s || ', ' || d || ')' AS text FROM {ORDERS} UNION ALL SELECT path, 'block', '{{ p' || p || '(' || s || ', ' || d || '); done(); return ' || r || '; }}' FROM {ORDERS} WHERE s = 'f'")
+def plan_smallest_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest nodes that hold both arguments of a call, and both statements of a body that has a call of done."""
+    units = calls(spark, sf_dir)
+    nodes = keep(tree_plan.parsed(units, "java"), "nodes")
+    spans = nodes.withColumnRenamed("start", "from").withColumnRenamed("end", "to")
+    both = []
+    for first, last in (("identifier", "decimal_integer_literal"), ("expression_statement", "return_statement")):
+        a = nodes.filter(F.col("kind") == first).select("path", "parent_pre", F.col("pre").alias("lo"))
+        b = nodes.filter(F.col("kind") == last).select("path", "parent_pre", F.col("post").alias("hi"))
+        both.append(a.join(b, ["path", "parent_pre"]).filter("lo < hi").groupBy("path", "parent_pre").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("lo").alias("n")).filter(F.lit(first == "identifier") | (F.col("n") == 2)))
+    ranges = both[0].unionByName(both[1]).select("path", "lo", "hi")
+    at = ct.smallest_covering(ranges, nodes).join(spans.select("path", "pre", "kind", "from", "to"), ["path", "pre"]).join(units, "path")
+    out = keep(at.select("path", "kind", tx.byte_slice(F.col("content"), F.col("from"), F.col("to")).alias("text")), "found")
+    discard(nodes)
+    return out

@@ -27,7 +27,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a kept table that nothing reads any more, through the file system that holds it."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
+    """Deletes a kept table that nothing reads any more."""
+    delete(df.sparkSession, df._kept)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

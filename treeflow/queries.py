@@ -259,10 +259,13 @@ def blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", tx.collapse_blank_lines(text).alias("content"))
 
 
-@query("SELECT doc_id, true AS same FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 3 = 1 AND NOT contains(text, 'e') AS same FROM documents WHERE length(text) > 0")
 def ws_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against itself with other white space, with a letter changed, or with one more at its end."""
     d = documents(spark, sf_dir).filter(F.char_length("content") > 0)
-    return d.select("doc_id", tx.same_but_space(F.col("content"), F.concat(F.lit("\n "), F.regexp_replace("content", "[ \n]", "\t "))).alias("same"))
+    spaced = F.concat(F.lit("\n "), F.regexp_replace("content", "[ \n]", "\t "))
+    other = F.when(F.col("doc_id") % 3 == 0, spaced).when(F.col("doc_id") % 3 == 1, F.replace(spaced, F.lit("e"), F.lit("E"))).otherwise(F.concat(spaced, F.lit(" x")))
+    return d.select("doc_id", tx.same_but_space(F.col("content"), other).alias("same"))
 
 
 @query("SELECT conv_id, string_agg(role, chr(10) ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
