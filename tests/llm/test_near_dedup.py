@@ -6,7 +6,7 @@ import numpy as np
 
 from treeflow.llm import near_dedup as nd
 from treeflow.llm.common import string_buffer
-from treeflow.llm.graph import components
+from treeflow.llm.graph import components, joined
 
 
 def corpus(seed, families=12):
@@ -178,3 +178,15 @@ def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "u bigint, v bigint")
     got = {r.u: r.c for r in components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_more_links_join_components(spark):
+    """joined() equals components() of all links: links between components, to nodes outside them, and among such nodes."""
+    rng = random.Random(3)
+    for _ in range(2):
+        first = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+        more = [(rng.randrange(80), rng.randrange(80)) for _ in range(15)]
+        frame = lambda rows: spark.createDataFrame(rows, "u int, v int")
+        got = joined(components(frame(first)), frame(more))
+        whole = components(frame(first + more))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))

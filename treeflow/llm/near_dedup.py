@@ -6,12 +6,9 @@ labelled shingles of least hash are kept in the order of the text; their ordered
 pair is a bucket key.  Equal pairs are likely only where the edit similarity of
 the shingle sequences is high.
 
-Two passes of linear cost come first.  Every member of a bucket is held against the
+One pass of linear cost comes first: every member of a bucket is held against the
 bucket's leader, which is the member whose other buckets are largest (the text that
-most near copies derive from).  After links are verified and components formed,
-members of buckets that still hold several components meet again under keys of two
-sketches, against the leaders of the two foremost components, for ``rounds`` (2)
-more rounds.
+most near copies derive from).  Verified links are made into components.
 
 What is left is settled exactly (``_rest``): all pairs of a bucket whose texts are
 in different components are tested.  Buckets of up to ``FEW`` members give their
@@ -20,7 +17,8 @@ blocks is one group, in which shared shingles are counted for all pairs at once
 only pairs with enough of them are aligned.  Members of a bucket's largest component
 meet the others, not each other.  So no pair of a bucket stays untested unless its
 texts are already in one class; a bucket with many components costs the square of
-the members outside its largest one.
+the members outside its largest one.  Links found here join components, so only the
+components they touch are formed anew.
 
 A candidate is verified by banded alignment: labelled shingles are unique in a
 text, so the longest common subsequence inside the band that the threshold allows
@@ -44,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import apart, as_signed, batches_by_bytes, mix, scope, settle, string_buffer, table, word_shingles
-from .graph import components
+from .graph import components, joined
 
 WORDS = 5
 #: Buckets of up to so many members give pairs as rows; a block of a larger one has about so many members, and shingles.
@@ -171,21 +169,6 @@ def _star(rows: DataFrame) -> DataFrame:
     return scored.select("b", "u").join(apart(leader.select("b", F.col("v.u").alias("v")), "b"), "b").filter("u <> v").select("u", "v").distinct()
 
 
-def _between(rows: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested candidates of buckets with several components (rows: b, u, c): each member against the leaders of the two foremost other components."""
-    several = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("s")).filter("lo <> hi").select("b", "s")
-    left = settle(rows.join(apart(several, "b"), "b"), "buckets")
-    score = left.groupBy("u").agg(F.sum("s").alias("s"))
-    left = settle(left.drop("s").join(score.hint("merge"), "u"), "scored")
-    one = left.groupBy("b").agg(F.max(F.struct("s", "u", "c")).alias("x"))
-    left = settle(left.join(apart(one, "b"), "b"), "foremost")
-    two = left.filter("c <> x.c").groupBy("b").agg(F.max(F.struct("s", "u", "c")).alias("y"))
-    left = left.join(apart(two, "b"), "b")
-    pairs = left.filter("c <> x.c").select("u", F.col("x.u").alias("v")).unionByName(left.filter("c <> y.c").select("u", F.col("y.u").alias("v")))
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().hint("merge"), ["u", "v"], "left_anti")
-
-
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """(a, b) counts of the shingles that two texts share; a text has a shingle once."""
     _, col = np.unique(np.concatenate([*a, *b]), return_inverse=True)
@@ -283,30 +266,16 @@ def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame
     return settle(links.unionByName(dealt.groupBy("b", "x", "y").applyInArrow(_block_links(threshold), f"u {node}, v {node}")), "links")
 
 
-def text_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, sketches: int = 12, rounds: int = 2) -> DataFrame:
+def text_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, sketches: int = 12) -> DataFrame:
     """u, c for each text that is linked to another one; c is the least u of its class."""
     with scope(docs.sparkSession) as keep:
         sk = settle(sketch(docs, text, sketches).groupBy("u").agg(F.first("sk").alias("sk"), F.first("n").alias("n")), "sketches")
-        buckets = sk.select("u", F.explode("sk").alias("b"))
-        tested = settle(_star(buckets), "candidates")
+        tested = settle(_star(sk.select("u", F.explode("sk").alias("b"))), "candidates")
         touched = settle(tested.select("u").union(tested.select("v")).distinct(), "touched")
         texts = settle(docs.select(*_key(text)).join(touched.hint("merge"), "u", "left_semi").dropDuplicates(["u"]), "texts")
-        links = settle(verify(tested, texts, threshold), "links")
-        classes = components(links)
-        for r in range(1, rounds + 1):
-            both = [F.xxhash64(F.element_at("sk", i + 1), F.element_at("sk", (i + r) % sketches + 1)) for i in range(sketches)]
-            rows = sk.join(touched.hint("merge"), "u", "left_semi").join(classes.hint("merge"), "u", "left").select("u", F.coalesce("c", "u").alias("c"), F.explode(F.array(*both)).alias("b"))
-            rows = settle(rows, "rows")
-            pairs = settle(_between(rows, tested), "candidates")
-            if pairs.isEmpty():
-                continue
-            new = settle(verify(pairs, texts, threshold), "links")
-            tested = settle(tested.unionByName(pairs), "candidates")
-            if not new.isEmpty():
-                links = settle(links.unionByName(new), "links")
-                classes = components(links)
+        classes = components(settle(verify(tested, texts, threshold), "links"))
         new = _rest(sk.join(touched.hint("merge"), "u", "left_semi"), classes, texts, tested, threshold)
-        return keep(classes if new.isEmpty() else components(links.unionByName(new)))
+        return keep(classes if new.isEmpty() else joined(classes, new))
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -> DataFrame:
