@@ -8,6 +8,7 @@ from pathlib import Path
 
 from ..plans.graph import RuleGraph
 from ..plans.model import Edge, Filter, ProgramError, Rule, Scope
+from ..rules.families import expand
 
 
 def _load(text: str, name: str) -> dict:
@@ -36,7 +37,8 @@ def read_rule(d: dict) -> Rule:
 
 def parse_graph(rules: str = "", edges: str = "", scopes: str = "") -> RuleGraph:
     """A graph from TOML texts; unknown keys are ignored, malformed text is an error."""
-    rs = [read_rule(d) for d in _load(rules, "rules").get("rules", ())]
+    program = _load(rules, "rules")
+    rs = [read_rule(d) for d in [*expand(program), *program.get("rules", ())]]
     es = [Edge(d.get("from", d.get("frm", "")), tuple(d["to"]), d["scope"]) for d in _load(edges, "edges").get("edges", ())]
     ss = [Scope(d["name"], tuple((r["enclosing_node"], r["scope"]) for r in d.get("rules", ()))) for d in _load(scopes, "scope_config").get("scopes", ())]
     return RuleGraph(rs, es, ss)
