@@ -71,6 +71,19 @@ def test_names_of_the_whole_page_say_nothing_of_a_block():
         assert h.main_text(f"{head}{p}{p}</article></body>", h.trained()) == "\n\n".join([p[3:-4]] * 2)
 
 
+def test_articles_that_nothing_names():
+    """Text between menu and footer without an element or class for it; an aside in an article is none of its text."""
+    p, q = "This is a long enough paragraph about rivers, hills and towns that people visit in summer. It has a second sentence, too.", "The council met on Tuesday and agreed to repair the old bridge before winter."
+    menu, foot = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>', "<footer>© 2020 Acme</footer>"
+    for tag in ("p", "div"):
+        for texts in ([p, q], [q, q]):
+            inner = "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+            assert h.main_text(f"<html><body>{menu}{inner}{foot}</body></html>", h.trained()) == "\n\n".join(texts)
+    assert h.main_text(f"<body>{menu}<h1>Bridge to be mended</h1><p>{q}</p>{foot}</body>", h.trained()) == f"Bridge to be mended\n\n{q}"
+    assert h.main_text(f"<body><article><p>{p}</p><p>{q}</p><aside>Related: the other bridge</aside><p>{p}</p></article></body>", h.trained()) == f"{p}\n\n{q}\n\n{p}"
+    assert h.main_text(f'<body>{menu}<div class="ad">{q}</div><div class="footer">{q}</div></body>', h.trained()) == ""
+
+
 def test_markup_never_crashes_or_hides_the_page():
     texts = lambda p: [b.text for b in h.blocks(p)]
     assert texts('<div data-y="foo">x</div>') == ["x"]
