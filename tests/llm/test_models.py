@@ -156,3 +156,36 @@ def test_toxicity_held_out_and_edges(spark):
     assert tx.score(df.limit(0), model).count() == 0
     none = tx.fit(df, labels.limit(0), tx.F.lit(True))
     assert tx.score(df, none).first().score == 0.0
+
+
+def test_examples_find_themselves():
+    """All features count: every example with a word is at cosine 1 to itself, and the k nearest are those of a full scan."""
+    rng = random.Random(5)
+    rows = corpus(400, 9) + [(9000, "solitary", 0), (9001, "Unheard-of, thing", 1)]
+    model = tx.ToxicModel(rows, {0: sum(y == 0 for *_, y in rows), 1: sum(y == 1 for *_, y in rows)}, k=7)
+    vectors = [model.vector(tx.counts(t)) for _, t, _ in rows]
+    dense = np.zeros((len(rows), len(model.vocab)))
+    for i, (t, w) in enumerate(vectors):
+        assert len(t)
+        dense[i, t] = w
+    for i in rng.sample(range(len(rows)), 60) + [len(rows) - 2, len(rows) - 1]:
+        docs, sims = model.index.nearest(*vectors[i], 7)
+        true = dense @ dense[i]
+        assert abs(sims[0] - 1) < 1e-9 and true[docs[0]] > 1 - 1e-9
+        assert np.allclose(sims, np.sort(true)[::-1][: len(sims)])
+        assert len(sims) == min(7, (true > 1e-12).sum())
+
+
+def test_toxicity_ids_of_text_and_bounded_examples(spark):
+    rows = [(f"r{i}", t, y) for i, t, y in corpus(120, 4)]
+    rows.append(("long", "knave " * 2000, 1))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id string, toxic int")
+    model = tx.fit(df, labels, tx.F.lit(True), text_bytes=10_000)
+    assert "long" not in model.ids and len(model.ids) == len(rows) - 1
+    few = tx.fit(df, labels, tx.F.lit(True), class_bytes=3000)
+    size = {i: (len(t.encode()), y) for i, t, y in rows}
+    for label in (0, 1):
+        assert sum(size[i][0] for i in few.ids if size[i][1] == label) <= 3000
+    got = tx.score(df, model).collect()
+    assert {r.doc_id for r in got} == {i for i, *_ in rows} and any(r.evidence for r in got)

@@ -1,12 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows: at most ``per_class`` (2500) of
-each label, those of least hash of their id.  Features are lower-cased words and
-their first five letters; those whose chi-square against the label is at least
-``least_chi2`` make the vocabulary.  The examples lie in an inverted index whose
-postings are cut into blocks of ``BLOCK`` examples with the greatest weight of
-each; a query visits blocks by falling upper bound and stops when the bound is
-under its k-th best cosine, so the k nearest are exact.  The distance-weighted
+each label, those of least hash of their id, whose texts have at most
+``text_bytes`` (1 MiB) each and ``class_bytes`` (32 MiB) together, so what reaches
+the driver and is broadcast is bounded in rows and bytes.  Features are all
+lower-cased words of the examples.  A feature's weight is TF-IDF times ``FAINT``
+plus the root of its chi-square against the label (greatest: 1): none is left out,
+so an example is its own nearest at cosine 1, and words that speak of the label
+count most.  The examples lie in an inverted index whose postings are cut into
+blocks of ``BLOCK`` examples with the greatest weight of each; a query visits blocks
+by falling upper bound and stops when the bound is under its k-th best cosine, so
+the k nearest are exact.  The distance-weighted
 vote of the neighbours, reweighted to the labels' true shares, is calibrated on
 leave-one-out votes of the examples by isotonic regression.  ``evidence`` names
 the nearest examples.
@@ -14,8 +18,8 @@ the nearest examples.
 Only labels, and which ids they belong to, are learned from; score inputs are the
 text alone.
 
-Defined results: null or empty texts, and texts without vocabulary, get the
-calibrated score of an empty vote; with labels of one class or none the score is
+Defined results: null or empty texts, and texts without a word of any example, get
+the calibrated score of an empty vote; with labels of one class or none the score is
 that class's share (0 without any); rows are scored one by one, so repeated rows
 give equal results; conflicting labels of an id count as toxic; null ids are never
 examples; other columns are ignored; an empty table gives an empty result.
@@ -23,80 +27,80 @@ examples; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
-BLOCK = 64
-LETTERS = 5
+BLOCK = 256
+FAINT = 1e-3
 STRIP = b".,;:!?\"'()[]{}*#$%&-"
 
 
 def counts(text: str | None) -> Counter:
     """Feature counts of a text."""
-    words = Counter((text or "").lower().encode("utf-8", "surrogatepass").split())
     out: Counter = Counter()
-    for w, n in words.items():
+    for w, n in Counter((text or "").lower().encode("utf-8", "surrogatepass").split()).items():
         w = w.strip(STRIP)
         if w:
             out[w] += n
-            try:
-                stem = w.decode()[:LETTERS]
-            except UnicodeDecodeError:
-                continue
-            if len(stem) == LETTERS:
-                out[b"^" + stem.encode()] += n
     return out
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors."""
+    """Block-max inverted index of unit TF-IDF vectors.
+
+    A cell is the postings of one term in one block.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         doc = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        cell = term * self.blocks + doc // BLOCK
-        by = np.lexsort((doc, cell))
+        key = term * self.blocks + doc // BLOCK
+        by = np.lexsort((doc, key))
         self.doc, self.weight = doc[by], weight[by]
-        self.start = np.searchsorted(cell[by], np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, weight)
-        self.most = self.most.reshape(terms, self.blocks)
-
-    def _postings(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        s, size = self.start[cell], self.start[cell + 1] - self.start[cell]
-        at = np.repeat(s - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return self.doc[at], self.weight[at] * np.repeat(np.repeat(q, len(blocks)), size)
+        cells, start = np.unique(key[by], return_index=True)
+        self.start = np.append(start, len(by))
+        self.block = cells % self.blocks
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.cells_of = np.searchsorted(cells, np.arange(terms + 1) * self.blocks)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first, ties by example."""
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = q @ self.most[terms]
+        cell, n = spread(self.cells_of[terms], self.cells_of[terms + 1])
+        q = np.repeat(q, n)
+        home = self.block[cell]
+        bound = np.bincount(home, weights=q * self.most[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         docs, sims = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
+        at, step = 0, 4
         while at < len(order):
             floor = sims[k - 1] if len(sims) >= k else 0.0
             part = order[at : at + step]
             part = part[bound[part] >= max(floor, 1e-12)]
             if not len(part):
                 break
-            d, w = self._postings(terms, q, np.sort(part))
-            total = np.bincount(d, weights=w, minlength=0)
-            found = np.flatnonzero(total > 1e-12)
-            found = found[found != skip]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            own = np.flatnonzero(chosen[home])
+            post, n = spread(self.start[cell[own]], self.start[cell[own] + 1])
+            total = np.bincount(self.doc[post], weights=self.weight[post] * np.repeat(q[own], n), minlength=self.n)
+            if skip >= 0:
+                total[skip] = 0.0
+            least = max(floor, 1e-12)
+            if len(total) > k:
+                least = max(least, float(np.partition(total, -k)[-k]))
+            found = np.flatnonzero(total >= least)
             docs, sims = np.concatenate([docs, found]), np.concatenate([sims, total[found]])
             by = np.lexsort((docs, -sims))[:k]
             docs, sims = docs[by], sims[by]
@@ -104,8 +108,14 @@ class Index:
         return docs, sims
 
 
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the ranges one after another, length of each range)."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 class ToxicModel:
-    def __init__(self, examples: list[tuple], shares: dict[int, int], k: int = 24, least_chi2: float = 12.0, power: float = 2.0):
+    def __init__(self, examples: list[tuple], shares: dict[int, int], k: int = 24, power: float = 2.0):
         """examples: (id, text, label); shares: labelled rows by label."""
         self.k, self.power = k, power
         self.ids = [e[0] for e in examples]
@@ -127,23 +137,22 @@ class ToxicModel:
             if y:
                 toxic.update(c.keys())
         n = len(examples)
-        for f in sorted(with_):
-            a, m = toxic[f], with_[f]
-            if m >= 3 and n * (a * n - m * n1) ** 2 / (m * (n - m) * n1 * n0 + 1e-9) >= least_chi2 and m < n:
-                self.vocab[f] = len(self.vocab)
-        self.idf = np.array([math.log((1 + n) / (1 + with_[f])) + 1 for f in self.vocab]) if self.vocab else np.zeros(0)
+        self.vocab = {f: i for i, f in enumerate(sorted(with_))}
+        m = np.array([with_[f] for f in self.vocab], np.float64)
+        a = np.array([toxic[f] for f in self.vocab], np.float64)
+        apart = np.sqrt(n * (a * n - m * n1) ** 2 / (m * (n - m) * n1 * n0 + 1e-9))
+        self.factor = (np.log((1 + n) / (1 + m)) + 1) * (FAINT + apart / max(apart.max(initial=0.0), 1e-9))
         vectors = [self.vector(c) for c in seen]
         self.index = Index(vectors, len(self.vocab))
         votes = np.array([self.vote(*self.index.nearest(*v, self.k, skip=i)) for i, v in enumerate(vectors)])
         self.curve = isotonic(votes, self.label, self.stand)
 
     def vector(self, c: Counter) -> tuple[np.ndarray, np.ndarray]:
-        vocab = self.vocab
-        pairs = [(vocab[f], n) for f, n in c.items() if f in vocab] if len(c) < len(vocab) else [(i, c[f]) for f, i in vocab.items() if f in c]
-        if not pairs:
+        known = [(i, n) for i, n in zip(map(self.vocab.get, c), c.values(), strict=True) if i is not None]
+        if not known:
             return np.zeros(0, np.int64), np.zeros(0)
-        t = np.array([p[0] for p in pairs], np.int64)
-        w = (1 + np.log(np.array([p[1] for p in pairs], np.float64))) * self.idf[t]
+        t, n = np.array(known, np.int64).T
+        w = (1 + np.log(n)) * self.factor[t]
         return t, w / np.sqrt((w * w).sum())
 
     def vote(self, docs: np.ndarray, sims: np.ndarray) -> float:
@@ -173,8 +182,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return at, np.clip(mean, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2500, text: str = "text", id_: str = "doc_id", **options) -> ToxicModel:
-    """Learn from labels (doc_id, toxic) of rows of docs that usable admits; at most 2 * per_class texts reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2500, class_bytes: int = 32 << 20, text_bytes: int = 1 << 20, text: str = "text", id_: str = "doc_id", **options) -> ToxicModel:
+    """Learn from labels (doc_id, toxic) of rows of docs that usable admits; at most 2 * per_class texts of 2 * class_bytes bytes reach the driver."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(usable)
     shares = {int(r["toxic"]): int(r["n"]) for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = None
@@ -183,22 +192,24 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 250
         some = part if some is None else some.unionByName(part)
     if some is None:
         return ToxicModel([], {}, **options)
-    picked = [tuple(r) for r in some.collect()]
-    small = docs.sparkSession.createDataFrame(picked, "id bigint, toxic int")
-    rows = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(small), "id")
-    rows = rows.groupBy("id", "toxic").agg(F.min("t").alias("t")).select("id", "t", "toxic")
+    small = some.select(F.col("doc_id").cast(docs.schema[id_].dataType).alias("id"), "toxic", F.xxhash64("doc_id").alias("h"))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_}`").alias("id"), t.alias("t")).filter(F.octet_length("t") <= text_bytes).join(F.broadcast(small), "id")
+    rows = rows.groupBy("id", "toxic", "h").agg(F.min("t").alias("t"))
+    held = F.sum(F.octet_length("t")).over(Window.partitionBy("toxic").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("held", held).filter(F.col("held") <= class_bytes).select("id", "t", "toxic")
     return ToxicModel(sorted((tuple(r) for r in rows.collect()), key=lambda r: r[0]), shares, **options)
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """doc_id, score, predicted, evidence; narrow, no shuffle."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())])))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema[id_].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())])))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         own = sent.value
         for b in batches:
+            kind = pa.list_(pa.struct([("doc_id", b.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             got = [own.judge(x.as_py()) for x in b.column(1)]
             s = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32()), pa.array([[dict(zip(("doc_id", "cosine", "toxic"), e, strict=True)) for e in g[1]] for g in got], kind)], names=schema.names)
