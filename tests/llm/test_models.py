@@ -163,12 +163,13 @@ def test_examples_find_themselves():
     rng = random.Random(5)
     rows = corpus(400, 9) + [(9000, "solitary", 0), (9001, "Unheard-of, thing", 1)]
     model = tx.ToxicModel(rows, {0: sum(y == 0 for *_, y in rows), 1: sum(y == 1 for *_, y in rows)}, k=7)
-    vectors = [model.vector(tx.counts(t)) for _, t, _ in rows]
+    text = {i: t for i, t, _ in rows}
+    vectors = [model.vector(tx.counts(text[i])) for i in model.ids]
     dense = np.zeros((len(rows), len(model.vocab)))
     for i, (t, w) in enumerate(vectors):
         assert len(t)
         dense[i, t] = w
-    for i in rng.sample(range(len(rows)), 60) + [len(rows) - 2, len(rows) - 1]:
+    for i in [*rng.sample(range(len(rows)), 60), model.ids.index(9000), model.ids.index(9001)]:
         docs, sims = model.index.nearest(*vectors[i], 7)
         true = dense @ dense[i]
         assert abs(sims[0] - 1) < 1e-9 and true[docs[0]] > 1 - 1e-9

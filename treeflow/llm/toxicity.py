@@ -8,9 +8,9 @@ lower-cased words of the examples.  A feature's weight is TF-IDF times ``FAINT``
 plus the root of its chi-square against the label (greatest: 1): none is left out,
 so an example is its own nearest at cosine 1, and words that speak of the label
 count most.  The examples lie in an inverted index whose postings are cut into
-blocks of ``BLOCK`` examples with the greatest weight of each; a query visits blocks
-by falling upper bound and stops when the bound is under its k-th best cosine, so
-the k nearest are exact.  The distance-weighted
+blocks of ``BLOCK`` examples with the greatest weight of each, alike examples side
+by side; a query visits blocks by falling upper bound and stops when the bound is
+under its k-th best cosine, so the k nearest are exact.  The distance-weighted
 vote of the neighbours, reweighted to the labels' true shares, is calibrated on
 leave-one-out votes of the examples by isotonic regression.  ``evidence`` names
 the nearest examples.
@@ -20,8 +20,8 @@ text alone.
 
 Defined results: null or empty texts, and texts without a word of any example, get
 the calibrated score of an empty vote; with labels of one class or none the score is
-that class's share (0 without any); rows are scored one by one, so repeated rows
-give equal results; conflicting labels of an id count as toxic; null ids are never
+that class's share (0 without any); rows are scored by their own text alone, a text
+that repeats in a batch once, so repeated rows give equal results; conflicting labels of an id count as toxic; null ids are never
 examples; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -83,7 +83,7 @@ class Index:
         bound = np.bincount(home, weights=q * self.most[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         docs, sims = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step = 0, 6
         while at < len(order):
             floor = sims[k - 1] if len(sims) >= k else 0.0
             part = order[at : at + step]
@@ -142,11 +142,23 @@ class ToxicModel:
         a = np.array([toxic[f] for f in self.vocab], np.float64)
         apart = np.sqrt(n * (a * n - m * n1) ** 2 / (m * (n - m) * n1 * n0 + 1e-9))
         self.factor = (np.log((1 + n) / (1 + m)) + 1) * (FAINT + apart / max(apart.max(initial=0.0), 1e-9))
+        order = self.alike(seen)
+        self.ids, seen = [self.ids[i] for i in order], [seen[i] for i in order]
+        self.label, self.stand = self.label[order], self.stand[order]
         vectors = [self.vector(c) for c in seen]
         self.index = Index(vectors, len(self.vocab))
         votes = np.array([self.vote(*self.index.nearest(*v, self.k, skip=i)) for i, v in enumerate(vectors)])
         self.curve = isotonic(votes, self.label, self.stand)
 
+    def alike(self, seen: list[Counter], pivots: int = 16) -> np.ndarray:
+        """An order of the examples in which those nearest to the same of some pivots, by plain counts, stand together, so that blocks differ in their bounds."""
+        weights, self.factor = self.factor, np.ones(len(self.vocab))
+        plain = [self.vector(c) for c in seen]
+        self.factor = weights
+        index = Index([plain[i] for i in np.linspace(0, len(seen) - 1, min(pivots, len(seen))).astype(int)], len(self.vocab))
+        best = [index.nearest(*v, 1)[0] for v in plain]
+        return np.argsort([b[0] if len(b) else -1 for b in best], kind="stable")
+
     def vector(self, c: Counter) -> tuple[np.ndarray, np.ndarray]:
         known = [(i, n) for i, n in zip(map(self.vocab.get, c), c.values(), strict=True) if i is not None]
         if not known:
@@ -210,7 +222,9 @@ def score(docs: DataFrame, model: ToxicModel, text: str = "text", id_: str = "do
         own = sent.value
         for b in batches:
             kind = pa.list_(pa.struct([("doc_id", b.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            got = [own.judge(x.as_py()) for x in b.column(1)]
+            texts = b.column(1).dictionary_encode("encode")
+            once = [own.judge(x.as_py()) for x in texts.dictionary]
+            got = [once[i] for i in texts.indices.to_pylist()]
             s = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32()), pa.array([[dict(zip(("doc_id", "cosine", "toxic"), e, strict=True)) for e in g[1]] for g in got], kind)], names=schema.names)
 
