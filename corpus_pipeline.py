@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def whole_characters(text: str | None, starts: np.ndarray, ends: np.ndarray) -> str:
-    """The text without the byte spans; a character goes only with all its bytes."""
+    """The text without the byte spans; a character goes only with all its bytes (one text; the stage is held against it)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     lead = np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True)
     out, at = [], 0
@@ -47,15 +46,12 @@ def whole_characters(text: str | None, starts: np.ndarray, ends: np.ndarray) ->
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated passages; every document stays."""
-    found = suffix_dedup.remove_repeats(docs)
+    """Texts lose their repeated passages; every document stays.
 
-    @F.pandas_udf("string")
-    def left(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([whole_characters(t, [x["start"] for x in s], [x["end"] for x in s]) for t, s in zip(text, spans, strict=True)])
-
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(left("text", "spans"))
-    out = found.withColumn("__text", text)
+    Texts are cut where the spans are found: a second Python function in the plan would
+    have each core keep a second Python worker, with its memory, for all later stages."""
+    found = suffix_dedup.remove_repeats(docs, whole=True)
+    out = found.withColumn("__text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept").cast("string")))
     return out.select(*(F.col("__text").alias(c) if c == "text" else F.char_length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -1,11 +1,12 @@
 """Order MinHash near-dedup against exhaustive alignment."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 
 from treeflow.llm import near_dedup as nd
-from treeflow.llm.common import string_buffer
+from treeflow.llm.common import FILES_A_CORE, string_buffer
 from treeflow.llm.graph import components, joined
 
 
@@ -174,6 +175,25 @@ def test_scope_deletes_what_it_does_not_keep(spark, tmp_path):
     assert not spark._jvm.java.io.File(kept._settled.removeprefix("file://")).exists()
 
 
+def test_tables_of_keys_are_few_files(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 4000, 2)], "u bigint, v bigint")
+    files = lambda df: len(list(Path(df._settled.removeprefix("file://")).glob("part-*")))
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        classes = components(links)
+        more = joined(classes, spark.createDataFrame([(1, 3), (9001, 9002)], "u bigint, v bigint"))
+        most = FILES_A_CORE * spark.sparkContext.defaultParallelism
+        assert files(classes) <= most and files(more) <= most
+        got = {r.u: r.c for r in more.collect()}
+        assert len(got) == 4002 and got[9002] == 9001 and all(got[i] == (i - i % 2 if i > 3 else 0) for i in range(4000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "u bigint, v bigint")
     got = {r.u: r.c for r in components(links).collect()}

@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from tests.llm.test_corpus_ops import brute as leak
 from tests.llm.test_near_dedup import all_pairs, families
 from tests.llm.test_suffix_dedup import brute as repeats
-from treeflow.llm import bpe
+from treeflow.llm import bpe, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,25 @@ def test_stages_keep_columns(spark, sf_dir):
     assert cp.STAGES[-1][1](spark, docs.limit(0), sf_dir[0]).count() == 0
 
 
+def test_one_python_function_a_task(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
+    for _, stage in cp.STAGES:
+        assert "EvalPython" not in stage(spark, docs, sf_dir[0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passages_end_at_whole_characters(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("éüaßb€😀") for _ in range(300))
+    # the repeat begins and ends inside a character: é is C3 A9, ĩ is C4 A9, à is C3 A0
+    texts = ["one é" + passage + "é x", "two ĩ" + passage + "à y", "no repeat", None, "", "third " + passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in suffix_dedup.remove_repeats(docs).collect()}
+    got = {r.doc_id: r.text for r in cp.suffix_array_dedup(spark, docs, "").collect()}
+    assert any(len(texts[i].encode()[: x.start].decode("utf-8", "ignore").encode()) != x.start for i in (0, 1) for x in spans[i])
+    assert got == {i: t if not spans[i] else cp.whole_characters(t, [x.start for x in spans[i]], [x.end for x in spans[i]]) for i, t in enumerate(texts)}
+    assert got[0] == "one éé x" and got[1] == "two ĩà y" and got[3] is None
+
+
 def test_whole_characters():
     assert cp.whole_characters("aéb", [2], [3]) == "aéb"
     assert cp.whole_characters("aéb", [1], [3]) == "ab"

@@ -75,10 +75,21 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
+#: Files a core of tables with few bytes a row.
+FILES_A_CORE = 4
+
+
+def settle(df: DataFrame, name: str = "step", few: str | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is
-    cut and any executor can read the rows again after another one is lost."""
+    cut and any executor can read the rows again after another one is lost.
+
+    few, for tables of keys: FILES_A_CORE files a core at most, as each file of a local folder takes the executor
+    processes (chmod) and later reads a visit.  "merge": the last step is light and evenly dealt, so fewer tasks do it;
+    "deal": its tasks stay as they are and their rows are dealt anew."""
     spark = df.sparkSession
+    if few:
+        n = FILES_A_CORE * spark.sparkContext.defaultParallelism
+        df = df.coalesce(n) if few == "merge" else df.repartition(n)
     path = f"{shared_dir(spark)}/treeflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -38,12 +38,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     with scope(links.sparkSession) as keep:
         edges = links.select("u", "v").filter("u <> v")
         for _ in range(most_rounds):
-            edges = settle(_small(_large(edges)), "edges")
+            edges = settle(_small(_large(edges)), "edges", "merge")
             if _stars(edges):
                 break
         else:
             raise RuntimeError("components did not settle")
-        return keep(settle(edges.select("u", F.col("v").alias("c")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("c"))).distinct(), "components"))
+        return keep(settle(edges.select("u", F.col("v").alias("c")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("c"))).distinct(), "components", "merge"))
 
 
 def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
         of = classes.hint("merge")
         ends = links.join(of, "u", "left").select(F.coalesce("c", "u").alias("u"), "v")
         ends = ends.join(of.select(F.col("u").alias("v"), "c").hint("merge"), "v", "left").select("u", F.coalesce("c", "v").alias("v"))
-        moved = components(settle(ends.filter("u <> v").distinct(), "ends"))
+        moved = components(settle(ends.filter("u <> v").distinct(), "ends", "merge"))
         now = moved.select(F.col("u").alias("c"), F.col("c").alias("now"))
         old = classes.join(apart(now, "c"), "c", "left").select("u", F.coalesce("now", "c").alias("c"))
         fresh = moved.join(of.select("u"), "u", "left_anti")
-        return keep(settle(old.unionByName(fresh), "components"))
+        return keep(settle(old.unionByName(fresh), "components", "deal"))

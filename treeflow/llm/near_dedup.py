@@ -162,7 +162,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def _star(rows: DataFrame) -> DataFrame:
     """Candidates u, v: members u of bucket b against its leader v (rows: b, u; leaders have most bucket mates)."""
-    sized = settle(rows.join(apart(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "b"), "b"), "buckets")
+    sized = settle(rows.join(apart(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "b"), "b"), "buckets", "deal")
     score = sized.groupBy("u").agg(F.sum("c").alias("s"))
     scored = sized.select("b", "u").join(score.hint("merge"), "u")
     leader = scored.groupBy("b").agg(F.max(F.struct("s", "u")).alias("v"))
@@ -247,13 +247,13 @@ def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame
     node = sk.schema["u"].dataType.simpleString()
     rows = sk.join(classes.hint("merge"), "u", "left").select("u", F.coalesce("c", "u").alias("c"), "n", F.posexplode("sk").alias("k", "b"))
     mixed = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("s")).filter("lo <> hi").select("b", "s")
-    rows = settle(rows.join(apart(mixed, "b"), "b"), "mixed")
+    rows = settle(rows.join(apart(mixed, "b"), "b"), "mixed", "deal")
     members = rows.filter(F.col("s") <= FEW).groupBy("b").agg(F.collect_list(F.struct("u", "c", "n")).alias("m"))
     long_enough = lambda x, y: F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * (threshold - 1e-9)
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["u"] > x["u"]) & (y["c"] != x["c"]) & long_enough(x, y)), lambda y: F.struct(x["u"].alias("u"), y["u"].alias("v")))))
     pairs = members.select(F.explode(pairs).alias("p")).select("p.u", "p.v").distinct()
     pairs = pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().hint("merge"), ["u", "v"], "left_anti")
-    links = verify(settle(pairs, "candidates"), texts, threshold)
+    links = verify(settle(pairs, "candidates", "deal"), texts, threshold)
     large = rows.filter(F.col("s") > FEW)
     foremost = large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).groupBy("b").agg(F.max(F.struct("m", "c", "w")).alias("x"), F.sum("m").alias("m"), F.sum("w").alias("w"))
     blocks = lambda m, w: F.ceil(F.greatest(m / BLOCK_ROWS, w / BLOCK_SHINGLES)).cast("int")
@@ -263,17 +263,17 @@ def _rest(sk: DataFrame, classes: DataFrame, texts: DataFrame, tested: DataFrame
     dealt = large.join(apart(plan, "b"), "b").withColumn("own", at).select("b", "k", "u", "c", "own", F.explode(meets).alias("o"))
     dealt = dealt.select("b", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "k", "u", "c", "own")
     dealt = dealt.join(sk.select("u", "sk").join(texts.hint("merge"), "u").hint("merge"), "u")
-    return settle(links.unionByName(dealt.groupBy("b", "x", "y").applyInArrow(_block_links(threshold), f"u {node}, v {node}")), "links")
+    return settle(links.unionByName(dealt.groupBy("b", "x", "y").applyInArrow(_block_links(threshold), f"u {node}, v {node}")), "links", "deal")
 
 
 def text_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, sketches: int = 12) -> DataFrame:
     """u, c for each text that is linked to another one; c is the least u of its class."""
     with scope(docs.sparkSession) as keep:
         sk = settle(sketch(docs, text, sketches).groupBy("u").agg(F.first("sk").alias("sk"), F.first("n").alias("n")), "sketches")
-        tested = settle(_star(sk.select("u", F.explode("sk").alias("b"))), "candidates")
-        touched = settle(tested.select("u").union(tested.select("v")).distinct(), "touched")
+        tested = settle(_star(sk.select("u", F.explode("sk").alias("b"))), "candidates", "merge")
+        touched = settle(tested.select("u").union(tested.select("v")).distinct(), "touched", "merge")
         texts = settle(docs.select(*_key(text)).join(touched.hint("merge"), "u", "left_semi").dropDuplicates(["u"]), "texts")
-        classes = components(settle(verify(tested, texts, threshold), "links"))
+        classes = components(settle(verify(tested, texts, threshold), "links", "deal"))
         new = _rest(sk.join(touched.hint("merge"), "u", "left_semi"), classes, texts, tested, threshold)
         return keep(classes if new.isEmpty() else joined(classes, new))
 

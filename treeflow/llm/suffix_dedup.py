@@ -312,8 +312,15 @@ def merged(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 24_000, columns: list[str] | None = None) -> DataFrame:
-    """columns of docs (all by default) with spans (removed bytes) and kept (remaining bytes)."""
+def whole_characters(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each span that is whole UTF-8 characters; spans without any are left out."""
+    lead = np.flatnonzero(np.append((doc & 0xC0) != 0x80, True))
+    start, end = lead[np.searchsorted(lead, start)], lead[np.searchsorted(lead, end, side="right") - 1]
+    return start[end > start], end[end > start]
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 24_000, columns: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """columns of docs (all by default) with spans (removed bytes) and kept (remaining bytes); whole: a character goes only with all its bytes."""
     runs = repeated_spans(docs, text, hot)
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("spans", "kept")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())])
@@ -337,6 +344,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = 24_000, colum
                         continue
                     v = r.values
                     s, e = merged(v.field("at").to_numpy(zero_copy_only=False), v.field("size").to_numpy(zero_copy_only=False))
+                    if whole:
+                        s, e = whole_characters(doc, s, e)
                     spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)])
                     edges = np.concatenate([[0], np.column_stack([s, e]).ravel(), [len(doc)]])
                     kept.append(b"".join(doc[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)))
