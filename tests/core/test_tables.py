@@ -127,3 +127,21 @@ def test_junctions_in_a_circle(spark):
     edges = spark.createDataFrame([("a", "j", "x"), ("j", "k", "x"), ("k", "j", "x")], "source string, target string, scope string")
     with pytest.raises(ProgramError, match="circle|cycle"):
         program_tables.successors(rules, edges)
+
+
+def test_rounds_over_what_changed(spark, monkeypatch):
+    """A chain of 8 rules beside 200 that are settled at once: rounds write the open rules, not all."""
+    rows = [(f"a{i}", not i, ["t"] if i else []) for i in range(8)] + [(f"b{i}", not i, ["u"]) for i in range(200)] + [("lost", False, ["t"])]
+    rules = spark.createDataFrame(rows, "rule string, is_seed boolean, defined array<string>")
+    edges = spark.createDataFrame([("a0", f"a{i}") for i in (1, 1, 2)] + [(f"a{i}", f"a{i + 1}") for i in range(7)] + [("b0", f"b{i}") for i in range(1, 200)] + [("lost", "a3")], "source string, target string")
+    kept, sizes = program_tables.keep, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes.append(out.count() if name == "assigned" else 0)
+        return out
+
+    monkeypatch.setattr(program_tables, "keep", counted)
+    got = {r.rule: r.tags for r in program_tables.assigned(rules, edges, []).collect()}
+    assert got == {"a0": [], "a1": [], "a2": [], **{f"a{i}": ["t"] for i in range(3, 8)}, "b0": [], **{f"b{i}": ["u"] for i in range(1, 200)}}
+    assert sum(sizes) < 3 * len(rows)

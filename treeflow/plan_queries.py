@@ -129,7 +129,7 @@ LINES = f"(SELECT o, n, f, first_value(f) OVER (PARTITION BY o ORDER BY n) AS f1
 def line_program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each line of an order is a rule that defines its flag; lines 1 and 3 are seeds, lines follow their forerunner and line 1."""
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*PLACE))
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), "l_returnflag")
+    line = keep(read(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), "l_returnflag"), "lines")
     name = F.concat_ws("-", "l_orderkey", "n")
     rules = line.select(name.alias("rule"), F.lit(False).alias("is_dummy"), F.col("n").isin(1, 3).alias("is_seed"), F.array("l_returnflag").alias("defined"), F.array(F.lit("A"), F.lit("N")).alias("used"))
     ways = F.array_distinct(F.array(F.col("n") - 1, F.lit(1)))
