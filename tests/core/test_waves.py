@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from treeflow.operators import tree_query
 from treeflow.operators.rewrite import Unit
 from treeflow.plans.graph import RuleGraph
 from treeflow.plans.model import Filter, Options, Rule
@@ -46,3 +47,14 @@ def test_many_filtered_edits_of_a_file():
     began = time.time()
     unit = run(code, FILTERS[1])
     assert len(unit.rewrites) == 800 and "old" not in unit.code and time.time() - began < 10
+
+
+def test_edits_without_filters_are_looked_for_once_a_pass(monkeypatch):
+    calls, find_all = [], tree_query.find_all
+    monkeypatch.setattr(tree_query, "find_all", lambda *a: (calls.append(a), find_all(*a))[1])
+    r = Rule("r", "((argument_list . (identifier) @a . (decimal_integer_literal) @b) @list)", replace_node="list", replace_idx=1, replace="N@b")
+    g = RuleGraph([r])
+    u = Unit("A.java", "class A { int f() { p(a, 1); return p(b, 2); } }", g, Options())
+    u.run(g.seeds({}))
+    assert u.code == "class A { int f() { p(a, N1); return p(b, N2); } }" and len(u.rewrites) == 2
+    assert len(calls) == 2  # one that finds both, one that finds none

@@ -349,6 +349,8 @@ def find_all(tree: Tree, node: Node, text: str, recursive: bool = True, replace_
     reach: dict[tuple[int, int], tuple[int, int]] = {}
     for n in node.walk() if recursive else _of_span(node):
         for p, preds in zip(q.patterns, q.predicates, strict=True):
+            if p.kind not in ("alt", "group") and not _fits(p, n):
+                continue
             for b in _one(p, n):
                 if b and _holds(preds, b, tree):
                     first = b[0][1]
