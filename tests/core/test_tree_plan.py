@@ -2,6 +2,7 @@
 
 import pytest
 
+from treeflow import plan_queries
 from treeflow.operators import containment as ct
 from treeflow.operators import languages, tree_query
 from treeflow.plans import execute as ex
@@ -117,3 +118,38 @@ def test_a_tree_of_many_tiles(spark):
     assert ct.not_contains(outer, leaves).count() == 0 and ct.not_contains(leaves, leaves.limit(0)).count() == k
     ranges = spark.createDataFrame([("p", 7, n - 6), ("p", 3, n - 6)], "path string, lo int, hi int")
     assert {(r.lo, r.pre) for r in ct.smallest_covering(ranges, tree).collect()} == {(7, 5), (3, 0)}
+
+
+def node_rows(monkeypatch, module, f):
+    """What f gives, and how many rows of nodes were kept for it."""
+    kept, sizes = module.keep, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes.append(out.count() if name == "nodes" else 0)
+        return out
+
+    monkeypatch.setattr(module, "keep", counted)
+    return f(), sum(sizes)
+
+
+CALLS = "class C { int o1() { p1(f, 3); done(); return 1; } int o2() { p2(o, 7); return 2; } }"
+
+
+@pytest.mark.parametrize(("pattern", "f", "most"), [("(expression_statement) @e", Filter(sibling_count=3), 8), ('((method_invocation name: (identifier) @n arguments: (argument_list . (_) @a . (_) @b .)) @call (#match? @n "^p"))', Filter(not_enclosing_node='((method_declaration name: (identifier) @em) @ed (#match? @em "2$"))'), 24), ('((method_invocation name: (identifier) @n arguments: (argument_list . (_) @a . (_) @b .)) @call (#match? @n "^p"))', Filter(enclosing_node='((method_declaration name: (identifier) @em) @ed (#match? @em "2$"))'), 24)])
+def test_nodes_that_no_query_asks_for_are_not_kept(spark, monkeypatch, pattern, f, most):
+    units = spark.createDataFrame([("A.java", CALLS)], "path string, content string")
+    graph = RuleGraph([Rule("r", pattern, filters=(f,))])
+    got, n = node_rows(monkeypatch, tp, lambda: ex.execute(units, graph, path="plan").collect())
+    want = ex.execute(units, graph, path="loop").collect()
+    assert got == want and got[0].matches
+    assert 0 < n <= most
+
+
+def test_nodes_of_queries_are_those_asked_for(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(15, 1, "F", "1-URGENT"), (27, 1, "O", "2-HIGH")], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got, n = node_rows(monkeypatch, plan_queries, lambda: plan_queries.plan_two_patterns(spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in got] == [("/c/1.java", "o15")] and n <= 18
+    got, n = node_rows(monkeypatch, plan_queries, lambda: plan_queries.plan_smallest_covering(spark, str(tmp_path)).collect())
+    assert sorted(r.text for r in got) == ["(f, 5)", "(o, 7)", "{ p1(f, 5); done(); return 1; }"] and n <= 36
