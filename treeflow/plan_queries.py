@@ -21,10 +21,12 @@ from .sources import scan
 
 def found(units: DataFrame, language: str, pattern: str, captures: list[str]) -> DataFrame:
     """path, start and one column a capture of every match of a tree query."""
-    nodes = keep(tree_plan.parsed(units, language, dirty=True), "nodes")
+    units = keep(units, "units")
+    nodes = keep(tree_plan.parsed(units, language, True, tree_plan.Wanted([pattern])), "nodes")
     rows = tree_plan.find_all(units, nodes.filter("pre IS NOT NULL"), pattern)
     out = keep(rows.select("path", "start", *(F.col("captures")[c].alias(c) for c in captures)), "found")
     discard(nodes)
+    discard(units)
     return out
 
 
@@ -182,16 +184,18 @@ def plan_moved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT path, 'argument_list' AS kind, '(' || s || ', ' || d || ')' AS text FROM {ORDERS} UNION ALL SELECT path, 'block', '{{ p' || p || '(' || s || ', ' || d || '); done(); return ' || r || '; }}' FROM {ORDERS} WHERE s = 'f'")
 def plan_smallest_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest nodes that hold both arguments of a call, and both statements of a body that has a call of done."""
-    units = calls(spark, sf_dir)
-    nodes = keep(tree_plan.parsed(units, "java"), "nodes")
-    spans = nodes.withColumnRenamed("start", "from").withColumnRenamed("end", "to")
+    units = keep(calls(spark, sf_dir), "units")
+    wanted = tree_plan.Wanted([f"({k})" for k in ("identifier", "decimal_integer_literal", "expression_statement", "return_statement")], inner=True)
+    nodes = keep(tree_plan.parsed(units, "java", wanted=wanted).select("path", "pre", "post", "parent_pre", "depth", "kind", "start", "end"), "nodes")
+    inner = nodes.filter("post > pre").withColumnsRenamed({"start": "from", "end": "to"})  # a leaf holds no two nodes
     both = []
     for first, last in (("identifier", "decimal_integer_literal"), ("expression_statement", "return_statement")):
         a = nodes.filter(F.col("kind") == first).select("path", "parent_pre", F.col("pre").alias("lo"))
         b = nodes.filter(F.col("kind") == last).select("path", "parent_pre", F.col("post").alias("hi"))
         both.append(a.join(b, ["path", "parent_pre"]).filter("lo < hi").groupBy("path", "parent_pre").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("lo").alias("n")).filter(F.lit(first == "identifier") | (F.col("n") == 2)))
     ranges = both[0].unionByName(both[1]).select("path", "lo", "hi")
-    at = ct.smallest_covering(ranges, nodes).join(spans.select("path", "pre", "kind", "from", "to"), ["path", "pre"]).join(units, "path")
+    at = ct.smallest_covering(ranges, inner, ("kind", "from", "to")).join(units, "path")
     out = keep(at.select("path", "kind", tx.byte_slice(F.col("content"), F.col("from"), F.col("to")).alias("text")), "found")
     discard(nodes)
+    discard(units)
     return out
